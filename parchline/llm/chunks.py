@@ -6,10 +6,10 @@ in any case. An insertion moves the cuts around it only, so equal passages in
 different places fall into equal chunks. Chunks are known by a 128-bit digest.
 
 One row for each document says which of its bytes repeat: a chunk counts as a repeat
-where its digest occurs anywhere else, and neighbouring repeated chunks make a
+where its digest occurs in another document, and neighbouring repeated chunks make a
 passage when they span PASSAGE bytes or more. ``extra`` passages are those that are
-not the first place (smallest doc_id, then position) of their chunks; removing
-them leaves every passage in the corpus once.
+not the first place (smallest doc_id, then position) of their chunks, be it in the same
+document; removing them leaves every passage in the corpus once.
 
 Scale. Digests are counted with partial aggregation (one row for a digest and map
 task, however many places it has), then joined back to the places; the join is a plain
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import PIECE, Stage, small_batches, to_bytes
 
 WINDOW = 16
-MASK_BITS = 5
-MIN_CHUNK, MAX_CHUNK = 24, 512
+MASK_BITS = 4
+MIN_CHUNK, MAX_CHUNK = 28, 512
 #: Shortest passage that is reported, in bytes.
 PASSAGE = 160
 
@@ -124,16 +124,16 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.withColumn("row_no", F.monotonically_increasing_id())
     places = docs.mapInArrow(_chunk_rows, "row_no bigint, doc_id bigint, d0 bigint, d1 bigint, start bigint, size bigint")
     places = stage.save(places, "places")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "start")).alias("first")
-    known = places.where("start >= 0").groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-    known = known.selectExpr("d0", "d1", "first.row_no first_row", "first.start first_start")
+    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row_no", "start")
+    known = places.where("start >= 0").groupBy("d0", "d1").agg(F.min(at).alias("first"), F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.count(F.lit(1)).alias("n"))
+    known = known.where("n > 1").selectExpr("d0", "d1", "first.row_no first_row", "first.start first_start", "low <> high across")
     repeats = places.where("start >= 0").join(known, ["d0", "d1"]).selectExpr(
-        "row_no", "start", "size", "NOT (row_no = first_row AND start = first_start) extra"
+        "row_no", "start", "size", "across", "NOT (row_no = first_row AND start = first_start) extra"
     )
-    chunk = F.struct("start", "size", "extra")
+    chunk = F.struct("start", "size", "across", "extra")
     by_row = repeats.groupBy("row_no").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
-    by_row = by_row.withColumn("extra_chunks", F.expr("filter(chunks, c -> c.extra)"))
-    spans = by_row.selectExpr("row_no", f"{_passages('chunks')} passages", f"{_passages('extra_chunks')} extra")
+    by_row = by_row.selectExpr("row_no", "filter(chunks, c -> c.across) shared", "filter(chunks, c -> c.extra) extra")
+    spans = by_row.selectExpr("row_no", f"{_passages('shared')} passages", f"{_passages('extra')} extra")
     rows = places.where("start < 0").selectExpr("row_no", "doc_id", "size n_bytes")
     none = "cast(array() AS array<struct<start:bigint,end:bigint>>)"
     total = "aggregate({0}, 0L, (s, p) -> s + p.end - p.start)"
