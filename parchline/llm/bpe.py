@@ -33,7 +33,7 @@ from .common import small_batches
 #: Steps of one recursive query.
 STEPS = 24
 #: Bytes of words, and tokens, in one query; words remembered by a worker.
-QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 20, 1 << 19, 800_000
+QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 20, 1 << 19, 400_000
 
 #: Bytes from which a word counts as long.
 LONG = 48
@@ -130,7 +130,7 @@ class Codec:
         np.minimum.at(lowest, r, m)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '500MB'")
+        self.db.execute("SET memory_limit = '256MB'")
         given = pa.table({"l": l, "r": r, "merged": m, "whole": lowest[m] > m})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 #: Bytes of text hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
