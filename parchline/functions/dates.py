@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import regexes as R
 
-# Month names by their first three letters; formats in order of trial.
+# Month names; formats in order of trial.
 _MONTHS = "January February March April May June July August September October November December".split()
-MONTH_FORMATS = ("MMMM yyyy", "MMMM, yyyy", "M/yyyy", "M-yyyy", "yyyy-MM", "yyyy/MM")
-FULL_FORMATS = ("d/M/yyyy", "M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd", "d-M-yyyy")
+FORMATS = ("MMM yyyy", "M/yyyy", "M-yyyy", "yyyy-MM", "yyyy/MM", "d/M/yyyy", "M/d/yyyy", "yyyy-MM-dd", "MMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd", "d-M-yyyy")
+_MONTH_WORD = r"(?i)\b(?:" + "|".join(f"({m[:3]})(?:{m[3:]}{'|t' if m == 'September' else ''})?" for m in _MONTHS) + r")\b[.,\-]?\s*"
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def expand_months(c: Column) -> Column:
-    """Abbreviated months in full; a dot or hyphen after them counts as a blank."""
-    out = F.trim(c)
-    for m in _MONTHS:
-        out = F.regexp_replace(out, rf"(?i)\b{m[:3]}(?:{m[3:]}|t)?\b[.\-]?\s*", m + " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+def short_months(c: Column) -> Column:
+    """Month names cut to three letters; a dot, comma or hyphen after them counts as a blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), _MONTH_WORD, "".join(f"${i}" for i in range(1, 13)) + " "), r"\s+", " "))
 
 
 def is_present(c: Column) -> Column:
@@ -28,41 +32,56 @@ def is_present(c: Column) -> Column:
 
 def parse_date(c: Column, as_of: str) -> Column:
     """Date of a point in time: present, month and year, full formats, else the first year's January."""
-    full = expand_months(c)
-    tries = [F.try_to_timestamp(full, F.lit(f)).cast("date") for f in MONTH_FORMATS + FULL_FORMATS]
-    year = F.nullif(F.regexp_extract(c, R.YEAR, 0), F.lit(""))
-    return F.when(is_present(c), F.lit(as_of).cast("date")).otherwise(F.coalesce(*tries, F.make_date(year.cast("int"), F.lit(1), F.lit(1))))
+
+    def body(s: Column) -> Column:
+        tries = [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in FORMATS]
+        year = F.make_date(F.nullif(F.regexp_extract(s, R.YEAR, 0), F.lit("")).cast("int"), F.lit(1), F.lit(1))
+        return F.when(is_present(s), F.lit(as_of).cast("date")).otherwise(F.coalesce(*tries, year))
+
+    return let(short_months(c), body)
 
 
 def duration_years(start: Column, end: Column) -> Column:
     """Whole years, months as twelfths and left-over days as parts of 365.25, to one decimal; order doesn't matter."""
-    a, b = F.least(start, end), F.greatest(start, end)
-    months = F.floor(F.months_between(b, a, False))
-    days = F.datediff(b, F.add_months(a, months.cast("int")))
-    return F.round(months / 12 + days / 365.25, 1)
+
+    def body(p: Column) -> Column:
+        months = F.floor(F.months_between(p["b"], p["a"], False))
+        days = F.datediff(p["b"], F.add_months(p["a"], months.cast("int")))
+        return F.round(months / 12 + days / 365.25, 1)
+
+    return let(F.struct(F.least(start, end).alias("a"), F.greatest(start, end).alias("b")), body)
 
 
 def parse_range(c: Column, as_of: str) -> Column:
     """Struct of a text's first date range; null without one."""
-    raw = F.regexp_extract(c, R.DATE_RANGE, 0)
-    a, b = F.regexp_extract(c, R.DATE_RANGE, 1), F.regexp_extract(c, R.DATE_RANGE, 2)
-    start, end = parse_date(a, as_of), parse_date(b, as_of)
-    made = F.struct(
-        normalize_date(a, as_of).alias("start_date"),
-        normalize_date(b, as_of).alias("end_date"),
-        start.alias("start"),
-        end.alias("end"),
-        is_present(b).alias("is_current"),
-        duration_years(start, end).alias("duration_years"),
-        raw.alias("raw_match"),
-    )
-    return F.when(raw != "", made)
+
+    def parts(r: Column) -> Column:
+        return F.struct(r["raw"].alias("raw"), r["a"].alias("a"), r["b"].alias("b"), parse_date(r["a"], as_of).alias("start"), parse_date(r["b"], as_of).alias("end"))
+
+    def body(p: Column) -> Column:
+        made = F.struct(
+            _named(p["a"], p["start"]).alias("start_date"),
+            _named(p["b"], p["end"]).alias("end_date"),
+            p["start"].alias("start"),
+            p["end"].alias("end"),
+            is_present(p["b"]).alias("is_current"),
+            duration_years(p["start"], p["end"]).alias("duration_years"),
+            p["raw"].alias("raw_match"),
+        )
+        return F.when(p["raw"] != "", made)
+
+    groups = F.struct(*[F.regexp_extract(c, R.DATE_RANGE, i).alias(k) for i, k in enumerate(("raw", "a", "b"))])
+    return let(let(groups, parts), body)
+
+
+def _named(c: Column, parsed: Column) -> Column:
+    bare = F.trim(c).rlike(r"^(?:19|20)\d{2}$")
+    return F.when(is_present(c), F.lit("Present")).when(bare, F.trim(c)).otherwise(F.coalesce(F.date_format(parsed, "MMM yyyy"), c))
 
 
 def normalize_date(c: Column, as_of: str) -> Column:
     """``Present``, ``yyyy`` for bare years, ``MMM yyyy``, or the text as it is."""
-    bare = F.trim(c).rlike(r"^(?:19|20)\d{2}$")
-    return F.when(is_present(c), F.lit("Present")).when(bare, F.trim(c)).otherwise(F.coalesce(F.date_format(parse_date(c, as_of), "MMM yyyy"), c))
+    return let(F.struct(c.alias("c"), parse_date(c, as_of).alias("d")), lambda p: _named(p["c"], p["d"]))
 
 
 def all_dates(c: Column) -> Column:

@@ -61,7 +61,7 @@ def layout_type(blocks: DataFrame, width: float) -> DataFrame:
     return facts.selectExpr(
         "doc_id",
         f"{kind} layout_type",
-        f"CASE WHEN {two} THEN ({gap}.b + 0.5) * {width} / 20 ELSE {width} / 2 END column_boundary",
+        f"CASE WHEN {two} THEN ({gap}.b + 0.5D) * {width}D / 20 ELSE {width}D / 2 END column_boundary",
         "far_right > 0.15 OR (far_left > 0.10 AND has_middle = 1) has_sidebar",
     )
 

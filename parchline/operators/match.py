@@ -165,21 +165,27 @@ def padded_array(c: Column) -> Column:
 _RANKED = sorted(SENIORITY, key=lambda k: -len(k))
 
 
+def _seniority_word(title: Column, faithful: bool = False) -> Column:
+    """The longest seniority key in a title, between blanks unless ``faithful``."""
+    keys = F.array(*[F.lit(k) for k in _RANKED])
+    if faithful:
+        return F.get(F.filter(keys, lambda k: F.contains(F.lower(title), k)), F.lit(0))
+    return F.get(F.filter(keys, lambda k: F.contains(_padded(title), F.concat(F.lit(" "), k, F.lit(" ")))), F.lit(0))
+
+
+def _padded(title: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9.\-/+#]+", " ")), F.lit(" "))
+
+
 def seniority(title: Column, faithful: bool = False) -> Column:
-    """The longest seniority word in a title; whole words only, unless ``faithful``."""
-    low = F.lower(title)
-    out = F.lit(None).cast("string")
-    for k in reversed(_RANKED):
-        test = low.contains(k) if faithful else low.rlike(rf"(?<![a-z0-9]){k.replace('.', '[.]')}(?![a-z0-9])")
-        out = F.when(test, F.lit(SENIORITY[k])).otherwise(out)
-    return out
+    """Normal form of the longest seniority word in a title; parts of words count only when ``faithful``."""
+    return F.try_element_at(_map(SENIORITY), _seniority_word(title, faithful))
 
 
 def without_seniority(title: Column) -> Column:
-    out = F.lower(title)
-    for k in _RANKED:
-        out = F.when(out.rlike(rf"(?<![a-z0-9]){k.replace('.', '[.]')}(?![a-z0-9])") & (seniority(title) == SENIORITY[k]), F.regexp_replace(out, rf"(?<![a-z0-9]){k.replace('.', '[.]')}(?![a-z0-9])", " ")).otherwise(out)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """The title in lower case without its seniority word."""
+    word = F.coalesce(F.concat(F.lit(" "), _seniority_word(title), F.lit(" ")), F.lit("\n"))
+    return F.trim(F.regexp_replace(F.replace(_padded(title), word, F.lit(" ")), r"\s+", " "))
 
 
 def normalize_titles(values: DataFrame, col: str = "title") -> DataFrame:

@@ -95,7 +95,7 @@ def find_headers(blocks: DataFrame, threshold: float = 0.45) -> DataFrame:
 def dominant_font(blocks: DataFrame, default: float = 11.0) -> DataFrame:
     """Most frequent rounded size over zero; the first seen of equally frequent ones."""
     sizes = blocks.groupBy("doc_id", F.when(F.col("font_size") > 0, F.bround("font_size")).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("block_seq").alias("at"))
-    best = F.max_by("size", F.when(F.col("size").isNotNull(), F.struct("n", -F.col("at"))))
+    best = F.max_by("size", F.when(F.col("size").isNotNull(), F.struct("n", -F.col("at"), "size")))
     return sizes.groupBy("doc_id").agg(F.coalesce(best, F.lit(default)).alias("dominant"))
 
 
