@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, with_id
 
 #: Steps of one recursive query.
 STEPS = 24
@@ -285,7 +285,7 @@ def encode(
     small_batches(spark)
     tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids {'array<int>' if lists else 'binary'}" + ", decoded binary" * decode_back
+    schema = with_id(docs, f"ids {'array<int>' if lists else 'binary'}" + ", decoded binary" * decode_back)
     out = docs.mapInArrow(_kernel(tokens, pattern, decode_back, lists), schema)
     return out.withColumn("n_tokens", (F.size("ids") if lists else F.length("ids") / 4).cast("bigint"))
 
@@ -306,4 +306,4 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     small_batches(spark)
     tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
     given = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return given.mapInArrow(_decoder(tokens, r"\s+|\S+"), f"doc_id {given.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return given.mapInArrow(_decoder(tokens, r"\s+|\S+"), with_id(given, "decoded binary"))

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch sent to Python; long texts also split by maxBytesPerBatch.
 BATCH_ROWS = 512
@@ -34,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def with_id(df: DataFrame, rest: str) -> T.StructType:
+    """Schema of ``df``'s doc_id, whatever its type, and further columns."""
+    return T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), *T.StructType.fromDDL(rest).fields])
+
+
 class Stage:
     """Intermediate tables under one run folder of the shared directory.
 

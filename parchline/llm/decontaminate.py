@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, with_id
 
 #: Share of an item's characters that may be edited; shortest piece of an item.
 ERROR_RATE, MIN_PIECE = 0.08, 11
@@ -149,8 +149,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "hits": pa.array(found, kind)})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hits array<struct<item_id:bigint,distance:bigint,end:bigint>>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_id(rows, "hits array<struct<item_id:bigint,distance:bigint,end:bigint>>"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

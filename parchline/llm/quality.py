@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, to_bytes
+from .common import small_batches, to_bytes, with_id
 from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, calibrate, fitting_sample
 
 FILTERS, WIDTH = 8, 5
@@ -172,5 +172,5 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())})
 
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
+    out = given.mapInArrow(run, with_id(given, "score double"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

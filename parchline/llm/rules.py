@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, small_batches, to_bytes, window_hashes, word_hashes
+from .common import _SPACE, small_batches, to_bytes, window_hashes, with_id, word_hashes
 
 LEVEL = 3
 CHUNK = 4096
@@ -141,6 +141,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """Counts, ratios, base_failed and kept of every row."""
     small_batches(df.sparkSession)
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = given.mapInArrow(_rows, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
+    out = given.mapInArrow(_rows, with_id(given, _SCHEMA))
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", F.expr("NOT base_failed AND band_ok"))

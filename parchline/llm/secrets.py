@@ -150,7 +150,7 @@ def scan(df: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFra
         f"named_struct('base', coalesce(transform(filter({parts}, p -> p.rank <= 2), p -> {span.format('p')}), {none}), "
         f"'linked', coalesce(transform({linked}, x -> {span.format('x.p')}), {none}))"
     )
-    keep: list[Column] = [F.col(f"`{c}`") for c in df.columns]
+    keep: list[Column] = [F.col(f"`{c}`") for c in df.columns if c != out]  # a clashing column gives way
     return work.select(*keep, result.alias(out))
 
 
