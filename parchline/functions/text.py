@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import regexes as R
 
@@ -17,14 +18,14 @@ DASHES, BULLETS = "–—―−‐‑", "•‣◦⁃⁌⁍∙▪▫●○■□
 ZERO_WIDTH = "​‌‍﻿­"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC; no built-in function normalises."""
     for s in batches:
         yield s.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def py_title(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Title case at every letter run, which initcap does at blanks only."""
     for s in batches:

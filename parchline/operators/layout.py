@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import regexes as R
 
-DOC = W.partitionBy("doc_id")
-
-
 def column_tags(blocks: DataFrame, width: float) -> DataFrame:
     """left / right / full by the left edge, and the header flag of a block."""
     t = F.trim("text")
@@ -85,7 +82,7 @@ def place(blocks: DataFrame, layout: DataFrame, width: float, height: float) ->
         .when((F.col("layout_type") == "two_column") & ~F.col("any_full"), (F.col("x0") >= F.col("column_boundary")).cast("int"))
         .otherwise(0)
     )
-    order = DOC.orderBy("page_num", group, "y0", "x0", "block_seq")
+    order = W.partitionBy("doc_id").orderBy("page_num", group, "y0", "x0", "block_seq")
     return b.withColumn("reading_rank", F.row_number().over(order)).drop("any_full")
 
 
@@ -100,7 +97,7 @@ def column_segments(placed: DataFrame) -> DataFrame:
     first = F.min(F.when(~F.col("wide"), F.col("y0"))).over(W.partitionBy("doc_id", "page_num"))
     segment = F.when(F.col("wide") & (F.coalesce(first, F.lit(0.0)) >= F.col("y0")), 0).when(F.col("wide"), 3).when(F.col("x0") < F.col("column_boundary"), 1).otherwise(2)
     p = p.withColumn("segment", segment)
-    return p.withColumn("segment_rank", F.row_number().over(DOC.orderBy("page_num", "segment", "y0", "x0", "block_seq")))
+    return p.withColumn("segment_rank", F.row_number().over(W.partitionBy("doc_id").orderBy("page_num", "segment", "y0", "x0", "block_seq")))
 
 
 def anchored_rows(blocks: DataFrame, tolerance: float) -> DataFrame:

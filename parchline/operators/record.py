@@ -17,9 +17,6 @@ from ..functions.dates import normalize_date, parse_range
 from .match import _map, categorize, is_valid_skill, mine_skills, parse_skill_lines, quick_normalize
 from .segment import section_texts, segment_text
 
-NONE = F.lit(None).cast("string")
-
-
 def _nz(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -168,7 +165,7 @@ def education(lines: Column, as_of: str) -> Column:
             degree_name(_nz(F.regexp_extract(line, R.DEGREE, 1))).alias("degree"),
             field_of_study(line).alias("field_of_study"),
             _nz(F.regexp_replace(F.regexp_replace(F.get(F.filter(F.split(school, r"\s*[|,]\s*"), lambda p: p.rlike(R.INSTITUTION)), F.lit(0)), R.YEAR, ""), r"[-–\s]+$", "")).alias("institution"),
-            NONE.alias("location"),
+            F.lit(None).cast("string").alias("location"),
             span["start_date"].alias("start_date"),
             F.coalesce(span["end_date"], year).alias("graduation_date"),
             F.when(score != "", F.concat_ws("/", score, _nz(scale))).alias("gpa"),
