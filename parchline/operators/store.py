@@ -6,6 +6,8 @@ every key. Nothing overwrites a path that is being read.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,6 +157,15 @@ def normalized_tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: heavy rows are made once, however many readers follow."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parchline-")
+    path = f"{shared.rstrip('/')}/parchline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_all(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
     """Every table to its own folder, independently: one failure doesn't stop the others. Returns errors by table."""
     errors = {}

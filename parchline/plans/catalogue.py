@@ -513,5 +513,6 @@ _RESUME = "concat('PROFILE\\n', text, '\\n\\nSKILLS\\nTools: Python, k8s, ', sou
 def records(spark, sf_dir):
     """Typed, scored records of résumé-shaped texts made from the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_RESUME).alias("text"))
-    scored = score.completeness(score.confidence(record.extract(docs, AS_OF)))
+    made = store.stored(record.extract(docs, AS_OF), "records")
+    scored = score.completeness(score.confidence(made))
     return scored.select("doc_id", F.to_json("record").alias("record"), "confidence.overall", "confidence.level", F.col("completeness.score").alias("complete"))
