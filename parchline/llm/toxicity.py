@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams (N_GRAMS) of the text with A-Z in lower case and
-white space folded, hashed to BUCKETS. On the fitting sample each bucket gets the log ratio
-of its smoothed relative frequencies in toxic and other texts; a logistic regression with
-L2 penalty learns weights over features scaled by these ratios. Ratio and weight
-multiply into one table of BUCKETS floats, which is broadcast (1 MB, whatever the data).
+Features are the byte n-grams (N_GRAMS) of the text with A-Z in lower case and white space
+folded, hashed to BUCKETS and counted in windows of WINDOW bytes. On the fitting sample each
+bucket gets the log ratio of its smoothed frequencies in windows of toxic and other texts;
+buckets whose two frequencies differ by less than LEAST_Z standard errors get none, as chance
+explains them. A logistic regression with L2 penalty learns weights over the logarithms of
+the counts, scaled by these ratios and by the window's length. Ratio and weight multiply
+into one table of BUCKETS floats, which is broadcast (4 MB, whatever the data).
 
-Scores see whole texts, and only texts. The sum over a text's distinct n-grams is
-calibrated on the fitting sample. Texts toxic in one place only count as such: windows of
-WINDOW bytes are scored beside the whole, and the highest counts.
+Scores see whole texts, and only texts. Texts toxic in one place only count as such: the
+highest window counts. Sums are calibrated on labelled texts that were not fitted.
 
 Defined results. Null and empty texts score the prior's side 0.0 (predicted 0). Repeated rows and null ids
 are scored row by row; a null id is held out never (its remainder is null: false).
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 from .common import small_batches, to_bytes, with_id
 from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, calibrate, fitting_sample
 
-N_GRAMS = (4, 6)
-BUCKETS = 1 << 18
+N_GRAMS = (5, 7)
+BITS = 20
+BUCKETS = 1 << BITS
 WINDOW = 2048
-#: Buckets seen in fewer fitted texts have no weight.
-LEAST_TEXTS = 3
+#: Sums of windows are taken for this many bytes; shorter ones than that count for less.
+UNIT = 500
+#: Buckets seen in fewer fitted windows, or whose frequencies differ by fewer standard errors, have no weight.
+LEAST_WINDOWS, LEAST_Z = 3, 5.0
 PARTS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -52,7 +56,7 @@ def grams(text: bytes) -> np.ndarray:
         h = h[: len(buf) - k] * np.uint32(0x01000193) ^ _SALT[k][buf[k:]]
         if k + 1 in N_GRAMS:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            out.append(mixed >> np.uint32(14))
+            out.append(mixed >> np.uint32(32 - BITS))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -70,13 +74,21 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW + 64] for i in range(0, len(text), WINDOW)]
 
 
+def counts(text: bytes, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The useful buckets of a window, each once, and the logarithms of their counts by length."""
+    all_of_it = grams(text)
+    buckets, n = np.unique(all_of_it[useful[all_of_it]], return_counts=True)
+    return buckets, np.log1p(n) * (UNIT / (UNIT + len(text)))
+
+
 class Model:
     def __init__(self, table: np.ndarray, scale: float, shift: float):
         self.table, self.scale, self.shift = table, scale, shift
+        self.useful = table != 0
 
     def raw(self, text: bytes) -> float:
         """The highest window's sum of weights."""
-        return max(float(self.table[distinct(grams(w))].sum()) for w in windows(text))
+        return max(float(self.table[b] @ v) for b, v in (counts(w, self.useful) for w in windows(text)))
 
     def score(self, text: bytes) -> float:
         if not text or not self.scale:
@@ -84,8 +96,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.raw(text) + self.shift, -30, 30))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 10, penalty: float = 1e-4, seed: int = 3) -> Model:
-    """Log-count ratios, then logistic regression on the scaled features by averaged stochastic gradients."""
+def log_count_ratios(texts: list[bytes], y: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's frequency in windows of toxic and other texts; 0 where chance may explain it."""
+    seen, n = np.zeros((2, BUCKETS)), np.zeros(2)
+    for text, k in zip(texts, y):
+        for w in windows(text):
+            seen[k, distinct(grams(w))] += 1
+            n[k] += 1
+    ratio = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    both = seen.sum(axis=0) / n.sum()
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    sure = np.abs(seen[1] / n[1] - seen[0] / n[0]) >= LEAST_Z * error
+    return np.where(sure & (seen.sum(axis=0) >= LEAST_WINDOWS), ratio, 0.0)
+
+
+def fit(texts: list[bytes], labels: list[int], epochs: int = 20, penalty: float = 1e-4, seed: int = 3) -> Model:
+    """Log-count ratios, then logistic regression on the scaled features by adaptive stochastic gradients."""
     y = np.array(labels, dtype=np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0)
@@ -93,35 +119,30 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 10, penalty: float
     order = np.concatenate([np.flatnonzero(y == k) for k in (0, 1)])
     rank = np.concatenate([np.arange((y == k).sum()) for k in (0, 1)])
     apart = order[rank % 8 == 7] if min((y == 0).sum(), (y == 1).sum()) >= 16 else order
-    every = y
     kept = np.setdiff1d(order, apart) if len(apart) < len(order) else order
-    # A text is one bag of its distinct n-grams for the ratios and the regression.
-    bags, y = [distinct(grams(texts[i])) for i in kept], every[kept]
-    seen = np.ones((2, BUCKETS), dtype=np.float64)
-    for bag, k in zip(bags, y):
-        seen[k, bag] += 1
-    rate = seen / seen.sum(axis=1, keepdims=True)
-    ratio = np.where(seen.sum(axis=0) >= 2 + LEAST_TEXTS, np.log(rate[1] / rate[0]), 0.0)
+    ratio = log_count_ratios([texts[i] for i in kept], y[kept])
+    useful, given = ratio != 0, []
+    for i in kept:
+        for w in windows(texts[i]):
+            bag, value = counts(w, useful)
+            given.append((bag, ratio[bag] * value, y[i]))
+    toxic = sum(k for _, _, k in given)
+    balance = [len(given) / (2 * (len(given) - toxic)), len(given) / (2 * toxic)]
     weight, bias = np.ones(BUCKETS), 0.0
     rng = np.random.default_rng(seed)
-    balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    norms = np.array([max(1.0, np.sqrt((ratio[b] ** 2).sum())) for b in bags])
     square = np.full(BUCKETS, 1e-6)
-    for epoch in range(epochs):
-        for i in rng.permutation(len(bags)):
-            bag = bags[i]
-            x = ratio[bag] / norms[i]
+    for _ in range(epochs):
+        for i in rng.permutation(len(given)):
+            bag, x, k = given[i]
             p = 1 / (1 + np.exp(-np.clip(weight[bag] @ x + bias, -30, 30)))
-            g = balance[i] * (p - y[i])
+            g = balance[k] * (p - k)
             slope = g * x + penalty * weight[bag]
             square[bag] += slope**2
-            weight[bag] -= 0.3 * slope / np.sqrt(square[bag])
+            weight[bag] -= 0.1 * slope / np.sqrt(square[bag])
             bias -= 0.01 * g
-    table = (ratio * weight).astype(np.float32)
-    model = Model(table, 1.0, 0.0)
+    model = Model((ratio * weight).astype(np.float32), 1.0, 0.0)
     raw = np.array([model.raw(texts[i]) for i in apart])
-    scale, shift = calibrate(raw, every[apart], THRESHOLD)
-    return Model(table, scale, shift)
+    return Model(model.table, *calibrate(raw, y[apart], THRESHOLD))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
