@@ -42,43 +42,47 @@ THRESHOLD = 0.7
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
-_SALT = np.random.default_rng(5).integers(1, 2**32, (max(N_GRAMS), 256), dtype=np.uint64).astype(np.uint32)
-_LAST = np.zeros(BUCKETS, dtype=np.int32)
+#: Odd factors whose products' high bits spread the n-grams, packed into 64-bit words, over the buckets.
+_FACTOR = {5: np.uint64(0x9E3779B97F4A7C15), 7: np.uint64(0xD6E8FEB86659FD93)}
+#: Starts of n-grams hashed at once.
+PIECE = 64 * WINDOW
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Buckets of all n-grams of a text with a blank before and after, with repeats."""
-    buf = _FOLD[np.frombuffer(b" " + text + b" ", dtype=np.uint8)]
-    out, h = [], np.zeros(len(buf), dtype=np.uint32)
-    for k in range(max(N_GRAMS)):
-        if len(buf) <= k:
-            break
-        h = h[: len(buf) - k] * np.uint32(0x01000193) ^ _SALT[k][buf[k:]]
-        if k + 1 in N_GRAMS:
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            out.append(mixed >> np.uint32(32 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
-
-
-def distinct(buckets: np.ndarray) -> np.ndarray:
-    """Each bucket once: the writer that stands last in a scratch table keeps its place."""
-    at = np.arange(len(buckets), dtype=np.int32)
-    _LAST[buckets] = at
-    return buckets[_LAST[buckets] == at]
-
+def grams(text: bytes, useful: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, bucket) of all useful n-grams of a text with a blank before and after, in pieces of whole windows.
 
-def windows(text: bytes) -> list[bytes]:
-    """The text in overlapping windows; one window where it is short."""
-    if len(text) <= WINDOW:
-        return [text]
-    return [text[i : i + WINDOW + 64] for i in range(0, len(text), WINDOW)]
-
-
-def counts(text: bytes, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The useful buckets of a window, each once, and the logarithms of their counts by length."""
-    all_of_it = grams(text)
-    buckets, n = np.unique(all_of_it[useful[all_of_it]], return_counts=True)
-    return buckets, np.log1p(n) * (UNIT / (UNIT + len(text)))
+    An n-gram belongs to the window that it starts in.
+    """
+    buf = _FOLD[np.frombuffer(b" " + text + b" ", dtype=np.uint8)]
+    for at in range(0, len(buf), PIECE):
+        part = buf[at : at + PIECE + max(N_GRAMS) - 1]
+        one = part.astype(np.uint64)
+        two = one[:-1] | one[1:] << np.uint64(8)
+        four = two[:-2] | two[2:] << np.uint64(16)
+        packed = {5: four[:-1] | one[4:] << np.uint64(32)} if len(part) >= 5 else {}
+        if len(part) >= 7:
+            packed[7] = packed[5][:-2] | two[5:] << np.uint64(40)
+        starts, buckets = [], []
+        for k, word in packed.items():
+            bucket = ((word[:PIECE] * _FACTOR[k]) >> np.uint64(64 - BITS)).view(np.int64)
+            found = np.flatnonzero(useful[bucket]) if useful is not None else np.arange(len(bucket))
+            starts.append(found)
+            buckets.append(bucket[found])
+        if starts:
+            yield (np.concatenate(starts) + at) // WINDOW, np.concatenate(buckets)
+
+
+def windows(text: bytes) -> int:
+    return -(-(len(text) + 2) // WINDOW)
+
+
+def counts(text: bytes, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows and their useful buckets, each pair once, and the logarithms of their counts by length."""
+    keys = [w * BUCKETS + b for w, b in grams(text, useful)]
+    keys, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+    window, bucket = keys // BUCKETS, keys % BUCKETS
+    length = np.minimum(WINDOW, len(text) + 2 - window * WINDOW)
+    return window, bucket, np.log1p(n) * (UNIT / (UNIT + length))
 
 
 class Model:
@@ -88,7 +92,8 @@ class Model:
 
     def raw(self, text: bytes) -> float:
         """The highest window's sum of weights."""
-        return max(float(self.table[b] @ v) for b, v in (counts(w, self.useful) for w in windows(text)))
+        window, bucket, value = counts(text, self.useful)
+        return float(np.bincount(window, self.table[bucket] * value, windows(text)).max())
 
     def score(self, text: bytes) -> float:
         if not text or not self.scale:
@@ -100,9 +105,9 @@ def log_count_ratios(texts: list[bytes], y: np.ndarray) -> np.ndarray:
     """Log ratio of each bucket's frequency in windows of toxic and other texts; 0 where chance may explain it."""
     seen, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for text, k in zip(texts, y):
-        for w in windows(text):
-            seen[k, distinct(grams(w))] += 1
-            n[k] += 1
+        for w, b in grams(text):
+            np.add.at(seen[k], np.unique(w * BUCKETS + b) % BUCKETS, 1)
+        n[k] += windows(text)
     ratio = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     both = seen.sum(axis=0) / n.sum()
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
@@ -123,9 +128,9 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, penalty: float
     ratio = log_count_ratios([texts[i] for i in kept], y[kept])
     useful, given = ratio != 0, []
     for i in kept:
-        for w in windows(texts[i]):
-            bag, value = counts(w, useful)
-            given.append((bag, ratio[bag] * value, y[i]))
+        window, bag, value = counts(texts[i], useful)
+        cuts = np.searchsorted(window, np.arange(1, windows(texts[i])))
+        given += [(b, ratio[b] * v, y[i]) for b, v in zip(np.split(bag, cuts), np.split(value, cuts))]
     toxic = sum(k for _, _, k in given)
     balance = [len(given) / (2 * (len(given) - toxic)), len(given) / (2 * toxic)]
     weight, bias = np.ones(BUCKETS), 0.0
