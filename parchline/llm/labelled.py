@@ -47,7 +47,8 @@ def calibrate(raw: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float,
 
     The scale comes from Newton steps on standardised sums, both labels weighted
     alike. The shift puts ``threshold`` at the cut with the best balanced accuracy,
-    in the middle of the gap around it.
+    in the middle of the gap around it. Equal sums are never cut apart; where all are equal,
+    none reaches the threshold.
     """
     mean, spread = raw.mean(), raw.std() or 1.0
     z = (raw - mean) / spread
@@ -61,6 +62,10 @@ def calibrate(raw: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float,
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
     order = np.argsort(z)
     gain = np.concatenate(([0.0], np.cumsum(np.where(y[order] == 1, -w[order], w[order]))))[1:-1]
+    apart = np.diff(z[order]) > 1e-9
+    if not apart.any():
+        return float(a / spread), float(np.log(threshold / (1 - threshold)) - a / spread * (z.max() * spread + mean) - 1)
+    gain = np.where(apart, gain, -np.inf)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     best = best[np.argmax(z[order][best + 1] - z[order][best])]
     cut = (z[order][best] + z[order][best + 1]) / 2

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from parchline.llm import bpe, chat, chunks, decontaminate, minhash, quality, rules, secrets, toxicity, urls
+from parchline.llm.labelled import calibrate
 from parchline.llm.queries import ALLOW, BLOCK, QUERIES, tokenizer
 from parchline.llm.sql import ORACLE_SQL
 
@@ -269,6 +270,13 @@ def test_classifier_odd_input(spark, module):
     assert module.fit([b"x"], [1]).score(b"x") == 0.0
 
 
+def test_calibration_of_equal_sums():
+    """Texts without any weighted feature, whose sums are all equal, aren't cut apart nor called toxic."""
+    reach = lambda raw, y: [a * r + b >= np.log(0.7 / 0.3) for a, b in [calibrate(np.array(raw), np.array(y), 0.7)] for r in raw]
+    assert reach([0.0] * 10, [0] * 8 + [1] * 2) == [False] * 10
+    assert reach([0.0] * 9 + [2.0], [0] * 8 + [1] * 2) == [False] * 9 + [True]
+
+
 # --- urls ---
 
 
