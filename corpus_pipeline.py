@@ -24,10 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of repeated rows one."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """One row of each near-duplicate group, that with the smallest id (null ids last); of repeated rows one.
+
+    Rows are told apart by a written row number, never by their id, which may be null or shared.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = Stage(spark, "dedup").save(packed.withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, "row_no", "row.text").selectExpr("doc_id row_no", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
+    groups = found.join(rows.selectExpr("row_no", "row.doc_id doc_id"), "row_no").groupBy("component_id")
+    stay = groups.agg(F.min(order).alias("first")).select("first.row_no")
+    return rows.join(stay, "row_no", "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

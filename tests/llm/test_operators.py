@@ -379,3 +379,20 @@ def test_pipeline_stages(spark):
     want = {r.doc_id: r.text for r in kept.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in last} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
     assert pipeline.run(spark, SMALL).count() == len(want)
+
+
+def test_pipeline_dedup_decides_by_row(spark):
+    """Rows with null or shared ids stand or fall by their own text."""
+    import corpus_pipeline as pipeline
+
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    near = lambda k: prose(k) + " more"
+    rows = [(1, prose(1)), (None, near(1)), (None, prose(2)), (None, None), (2, prose(3)), (3, near(3)), (3, prose(4)), (None, prose(5)), (None, near(5)), (9, prose(6)), (9, prose(6))]
+    kept = pipeline.drop_near_duplicates(spark, table(spark, rows), SMALL)
+    assert kept.columns == table(spark, []).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    fifth = [t for _, t in got if t in (prose(5), near(5))]
+    assert len(fifth) == 1
+    want = [(1, prose(1)), (None, prose(2)), (None, None), (2, prose(3)), (3, prose(4)), (None, fifth[0]), (9, prose(6))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert pipeline.drop_near_duplicates(spark, table(spark, []), SMALL).count() == 0
