@@ -81,7 +81,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_passages(table(spark, sf_dir, "documents")).where("n_repeat_bytes > 0")
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,13 @@ def test_chunks_odd_input(spark):
     assert len(got) == len(ODD) and chunks.repeated_passages(table(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_chunk_query_returns_every_document(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = QUERIES["op6_chunk_dedup"](spark, SMALL)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 # --- decontamination ---
 
 
