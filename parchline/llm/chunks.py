@@ -1,9 +1,17 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last WINDOW bytes proposes cuts where its masked bits are
-zero; a cut counts when the chunk has MIN_CHUNK bytes, and a chunk ends at MAX_CHUNK bytes
-in any case. An insertion moves the cuts around it only, so equal passages in
-different places fall into equal chunks. Chunks are known by a 128-bit digest.
+A gear hash of the last WINDOW bytes stands at every position. A position is a cut where
+its hash is the smallest of any SPAN neighbouring positions, the first one if the same hash
+recurs. So cuts depend on the bytes around them alone and are the same in every copy of a
+passage, from its first whole span to its last: no chunk is lost to falling into step. Where
+hashes recur, as in rows of dashes, a cut also needs MIN_CHUNK bytes since the last one;
+the text being periodic there, its chunks are equal all the same. Chunks are known by a
+128-bit digest of their bytes and the WINDOW bytes before them.
+
+Whole passages. Between the smallest positions of a passage's first and last span all
+chunks of its copies are equal, so a passage of PASSAGE + 2 * SPAN + WINDOW - 2 bytes or more
+in which no hash recurs within a span is always reported, be it in two documents only; others
+are where they hold PASSAGE bytes of whole chunks.
 
 One row for each document says which of its bytes repeat: a chunk counts as a repeat
 where its digest occurs in another document, and neighbouring repeated chunks make a
@@ -34,43 +42,56 @@ from pyspark.sql import functions as F
 from .common import PIECE, Stage, small_batches, to_bytes
 
 WINDOW = 16
-MASK_BITS = 4
+#: Positions of which the smallest hash is a cut; chunks have half of that on average.
+SPAN = 88
 MIN_CHUNK, MAX_CHUNK = 28, 512
 #: Shortest passage that is reported, in bytes.
-PASSAGE = 160
+PASSAGE = 96
 
 _GEAR = np.random.default_rng(42).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-_MASK = np.uint32(((1 << MASK_BITS) - 1) << (32 - MASK_BITS - (32 - WINDOW)))
 
 
-def _candidates(buf: np.ndarray) -> np.ndarray:
-    """Positions after which the hash of the last WINDOW bytes allows a cut; long texts go by parts."""
-    out = []
-    for at in range(0, len(buf), PIECE):
-        part = _GEAR[buf[max(0, at - WINDOW + 1) : at + PIECE]]
-        h = part.copy()
-        for k in range(1, min(WINDOW, len(part))):
-            h[k:] += part[:-k] << np.uint32(k)
-        hit = np.flatnonzero((h & _MASK) == 0) + max(0, at - WINDOW + 1) + 1
-        out.append(hit[hit > at])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def _least(keys: np.ndarray) -> np.ndarray:
+    """The smallest of each SPAN neighbours."""
+    width = 1
+    while 2 * width <= SPAN:
+        keys = np.minimum(keys[:-width], keys[width:])
+        width *= 2
+    return keys if width == SPAN else np.minimum(keys[: width - SPAN], keys[SPAN - width :])
+def _candidates(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose hash of the last WINDOW bytes is the first smallest of SPAN neighbours, and which are the only smallest; long texts go by parts."""
+    hits, alone = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+
+    def add(found: np.ndarray, single: np.ndarray) -> None:
+        new = np.flatnonzero(np.diff(found, prepend=-1))
+        hits.append(found[new])
+        alone.append(np.logical_or.reduceat(single, new) if len(new) else single)
+
+    for at in range(0, len(buf) - WINDOW - SPAN + 2, PIECE):
+        part = _GEAR[buf[at : at + PIECE + SPAN + WINDOW - 2]]
+        n = len(part) - WINDOW + 1
+        h = np.zeros(n, dtype=np.uint32)
+        for k in range(WINDOW):
+            h += part[WINDOW - 1 - k : WINDOW - 1 - k + n] << np.uint32(k)
+        high, place = h.astype(np.uint64) << np.uint64(32), np.arange(n, dtype=np.uint64)
+        first = (_least(high | place) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        last = n - 1 - (_least(high | place[::-1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        add(first + at + WINDOW, first == last)
+    add(np.concatenate(hits), np.concatenate(alone))
+    return hits[-1], alone[-1]
 
 
 def cut(text: bytes) -> list[int]:
     """Ends of the chunks."""
     ends, last, n = [], 0, len(text)
-    for c in _candidates(np.frombuffer(text, dtype=np.uint8)).tolist():
+    hits, alone = _candidates(np.frombuffer(text, dtype=np.uint8))
+    for c, single in [*zip(hits.tolist(), alone.tolist()), (n, n > 0)]:
         while c - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
-        if c - last >= MIN_CHUNK:
+        if c > last and (single or c - last >= MIN_CHUNK):
             ends.append(c)
             last = c
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        ends.append(last)
-    if n > last:
-        ends.append(n)
     return ends
 
 
@@ -82,7 +103,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = 0
             ends = cut(text)
             for end in ends:
-                digests.append(hashlib.blake2b(text[last:end], digest_size=16).digest())
+                digests.append(hashlib.blake2b(text[max(0, last - WINDOW) : end], digest_size=16).digest())
                 starts.append(last)
                 sizes.append(end - last)
                 last = end

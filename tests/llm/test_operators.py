@@ -188,6 +188,27 @@ def test_passages_survive_shifts(spark):
     assert got[0].n_extra_bytes == 0 and got[3].n_extra_bytes > 0 and got[12].n_extra_bytes == 0
 
 
+def test_passages_of_pairs_are_whole(spark):
+    """51 words that two documents share, wherever they stand; also lines that repeat themselves."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    shared = [words(51) for _ in range(60)] + ["- - = " * 60, "a line of the table\n" * 20]
+    rows = [(2 * k + j, words(rng.randrange(5, 60)) + " " + p + " " + words(rng.randrange(5, 60))) for k, p in enumerate(shared) for j in (0, 1)]
+    got = {r.doc_id: r for r in chunks.repeated_passages(table(spark, rows)).collect()}
+    assert [i for i, t in rows if len(shared[i // 2]) >= 286 and not got[i].n_repeat_bytes] == []
+    assert all(t[p.start : p.end] in " " + shared[i // 2] + " " for i, t in rows for p in got[i].passages)
+
+
+def test_cuts_depend_on_neighbours_only():
+    rng = random.Random(12)
+    passage = bytes(rng.randrange(97, 123) for _ in range(3000))
+    ends = {tuple(e - k for e in chunks.cut(os.urandom(k) + passage) if k + 200 <= e < k + 3000) for k in range(1, 60)}
+    assert len(ends) == 1
+    long = bytes(rng.randrange(97, 123) for _ in range(chunks.PIECE + 5000))
+    late = chunks.PIECE - 3000
+    assert [e - late for e in chunks.cut(long) if e > late + 200] == [e for e in chunks.cut(long[late:]) if e > 200]
+
+
 def test_chunks_cover_texts():
     rng = random.Random(6)
     for n in (0, 1, 27, 28, 5000, 70_000):
