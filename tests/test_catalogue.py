@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL, on the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -41,3 +42,11 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_character_maps_covers_all_texts(spark, tmp_path):
+    given = {1: "plain", 2: "“a” – b", 3: "l’été «x» ﬁn œuvre Æ ■ ″ ―", 4: None, 5: "Ōsaka"}
+    want = {1: "plain", 2: '"a" - b', 3: "l'été \"x\" fin oeuvre AE - \" -", 4: None, 5: "Ōsaka"}
+    spark.createDataFrame(list(given.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.h) for r in QUERIES["character_maps"](spark, str(tmp_path)).collect()}
+    assert got == {k: (None, None) if v is None else (len(v), hashlib.md5(v.encode()).hexdigest()) for k, v in want.items()}
