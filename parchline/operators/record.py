@@ -108,8 +108,8 @@ def experience(lines: Column, as_of: str) -> Column:
         span = parse_range(F.get(F.filter(e, _dated), F.lit(0)), as_of)
         plain = F.trim(F.regexp_replace(F.regexp_replace(head, R.DATE_RANGE, ""), r"[(),|\s]+$", ""))
         parts = F.transform(F.split(plain, r"\s*[|@—–·•]\s*|\s+-\s+|\s+at\s+|,\s+"), lambda p: F.trim(p))
-        points = F.transform(F.filter(F.slice(e, 2, 1000), _is_bullet), lambda y: F.trim(F.regexp_replace(y, R.BULLET_POINT, "")))
-        prose = F.filter(F.slice(e, 2, 1000), lambda y: ~_is_bullet(y) & ~_dated(y) & (F.size(F.split(y, r"\s+")) > 5))
+        points = F.transform(F.filter(F.slice(e, F.lit(2), F.size(e)), _is_bullet), lambda y: F.trim(F.regexp_replace(y, R.BULLET_POINT, "")))
+        prose = F.filter(F.slice(e, F.lit(2), F.size(e)), lambda y: ~_is_bullet(y) & ~_dated(y) & (F.size(F.split(y, r"\s+")) > 5))
         return F.struct(
             _nz(F.get(parts, F.lit(0))).alias("job_title"),
             _nz(F.get(parts, F.lit(1))).alias("company"),
@@ -206,7 +206,7 @@ def projects(lines: Column, as_of: str) -> Column:
         span = parse_range(whole, as_of)
         label = F.regexp_extract(whole, r"(?im)(?:technologies|tech stack|tools|built with|stack)\s*[:\-]\s*(.+)$", 1)
         tech = F.filter(F.split(label, r"\s*[,;|]\s*"), lambda x: F.trim(x) != "")
-        about = F.filter(F.slice(e, 2, 1000), lambda y: ~y.rlike(r"(?i)^\s*(?:technolog|tech stack|tools|built with|https?:|www)") & ~_dated(y))
+        about = F.filter(F.slice(e, F.lit(2), F.size(e)), lambda y: ~y.rlike(r"(?i)^\s*(?:technolog|tech stack|tools|built with|https?:|www)") & ~_dated(y))
         return F.struct(
             _nz(F.regexp_replace(F.regexp_replace(line, R.DATE_RANGE, ""), r"\s+[-–—|]\s+.*$", "")).alias("name"),
             _nz(F.array_join(F.transform(about, lambda y: F.trim(F.regexp_replace(y, R.BULLET_POINT, ""))), " ")).alias("description"),

@@ -113,3 +113,13 @@ def test_html_tables(spark):
 def test_pdf_without_library(spark):
     rows = documents.pdf_blocks(spark.createDataFrame([("/x.pdf", bytearray(b""))], "path string, content binary")).collect()
     assert len(rows) <= 1 and all(r.error for r in rows)
+
+
+def test_long_entries_are_whole(spark):
+    head, made = "Senior Developer | Acme | Berlin", [f"- built part {i}" for i in range(1100)]
+    rows = spark.createDataFrame([([head, "Jan 2018 - Mar 2021", *made, "prose of more than five words"],)], "lines array<string>")
+    job = rows.select(record.experience(F.col("lines"), "2024-01-01").alias("jobs")).first().jobs[0]
+    assert len(job.responsibilities) == 1100 and job.description == "prose of more than five words"
+    about = spark.createDataFrame([(["Parchment", *made],)], "lines array<string>")
+    project = about.select(record.projects(F.col("lines"), "2024-01-01").alias("p")).first().p[0]
+    assert project.description.endswith("built part 1099")
