@@ -48,8 +48,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("record"),
     )
-    given = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    made = chat.format_conversations(given.unionByName(own), "conv_id", "turn", "record")
+    given = chat.turns_of_rows(rows.select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+    made = chat.format_turns(given.unionByName(chat.turns_of_records(own, "conv_id", "turn", "record")))
     read = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
     loss = "array_join(transform(filter(turns, t -> t.loss), t -> t.text), '')"
     return read.selectExpr(

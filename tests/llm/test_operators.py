@@ -367,6 +367,14 @@ def test_layouts_and_round_trip(spark):
     assert {r.conv_id for r in chat.unmapped(df, "record").collect()} == {"m7", "m8", "m9"}
 
 
+def test_turns_of_any_length(spark, tmp_path):
+    """A turn above the JSON parser's limit of 20,000,000 characters is a turn like others."""
+    one = spark.range(1).selectExpr("1L conv_id", "0L turn", "'user' role", "repeat('a', 20500000) text")
+    one.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.n_turns for r in QUERIES["op3_chat_format"](spark, str(tmp_path)).select("conv_id", "n_turns").collect()}
+    assert got == {-1: 2, 1: 1}
+
+
 # --- queries ---
 
 
