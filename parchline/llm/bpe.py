@@ -7,11 +7,14 @@ neighbours to the merge table and contracts the pair of minimum rank, leftmost
 first, until no word changes. An ordered aggregation over the token rows decodes.
 
 Exactness. The text is split by the pattern first; each match is encoded alone, and
-a match that is itself in the vocabulary is one token. Where no token that contains a
-merged token has a lower rank, the word's other pairs of the same rank are next in turn
-anyway, so they contract in the same step (every second one of overlapping
-pairs); for the remaining ranks one pair contracts in a step. Steps of one query are
-limited; what isn't finished starts the next query, so memory stays bounded for any word.
+a match that is itself in the vocabulary is one token. In words under LONG bytes one pair
+contracts in a step. In longer ones every pair does whose turn comes whatever happens
+elsewhere: no token of lower rank could still stand over the border of the pair and one of its
+halves, nor over the pair and more. Such a token would have to begin and end at
+borders that are left, so all its places are found once, by walks down the vocabulary's trie.
+Of equal pairs in a row, the first of which is sure, every second one contracts; where no pair is sure, the leftmost one
+of minimum rank does. Steps of one query are limited; what isn't finished starts the next query.
+Memory is bounded but for a single word of hundreds of kilobytes without any break, whose places have to fit.
 
 Defined results. Null and empty texts have no tokens and decode to empty bytes. Repeated
 rows and null ids are encoded row by row; extra columns are ignored.
@@ -20,6 +23,7 @@ rows and null ids are encoded row by row; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -35,8 +39,10 @@ STEPS = 24
 #: Bytes of words, and tokens, in one query; words remembered by a worker.
 QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 20, 1 << 19, 400_000
 
-#: Bytes from which a word counts as long.
-LONG = 48
+#: Bytes from which a word counts as long; bytes of long words in one query, and of a walk's beginnings.
+LONG, LONG_BYTES = 48, 1 << 17
+#: Memory of a worker's database, and bytes of a single long word for which it may have a megabyte more.
+MEMORY_MB, WORD_BYTES_A_MB = 384, 800
 
 #: One pair of each word contracts in a step; positions stay 0, 1, 2 ... within a word.
 _SHORT = f"""
@@ -60,40 +66,63 @@ WITH RECURSIVE step(depth, done, w, pos, tok) AS (
 SELECT w, tok, done FROM step WHERE done ORDER BY w, pos
 """
 
-#: For long words: all pairs of the minimum rank at once where that is exact.
+#: Where tokens of two bytes and more could stand in long words: walks down the vocabulary's trie from every byte.
+_PLACES = """
+WITH RECURSIVE walk(w, s, e, node, id) AS (
+    SELECT b.w, b.at, b.at + 1, t.child, NULL::INT FROM bytes b JOIN trie t ON t.node = 0 AND t.byte = b.byte
+    WHERE b.at >= ? AND b.at < ?
+    UNION ALL
+    SELECT k.w, k.s, k.e + 1, t.child, t.id
+    FROM walk k JOIN bytes b ON b.at = k.e AND b.w = k.w JOIN trie t ON t.node = k.node AND t.byte = b.byte
+)
+INSERT INTO places SELECT s, e, id FROM walk WHERE id IS NOT NULL
+"""
+
+#: For long words: in each step all pairs contract that are sure to, whatever happens elsewhere.
 _LONG = f"""
-WITH RECURSIVE step(depth, done, w, pos, tok) AS (
-    SELECT 0, false, w, pos, tok FROM start
+WITH RECURSIVE step(depth, done, w, s, e, tok) AS (
+    SELECT 0, false, w, s, e, tok FROM start
     UNION ALL
-    SELECT depth + 1, best IS NULL, w, pos, CASE WHEN taken THEN best ELSE tok END
-    FROM (
-        SELECT *, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY pos), false) AS gone
-        FROM (
-            SELECT *, coalesce(hit AND ((whole AND (rn - coalesce(max(CASE WHEN hit THEN NULL ELSE rn END)
-                OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) % 2 = 1)
-                OR (NOT whole AND pos = min(CASE WHEN hit THEN pos END) OVER (PARTITION BY w))), false) AS taken
-            FROM (
-                SELECT depth, w, pos, tok, rn, whole, best, coalesce(merged = best, false) AS hit
-                FROM (
-                    SELECT p.*, m.merged, m.whole, min(m.merged) OVER (PARTITION BY p.w) AS best
-                    FROM (
-                        SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
-                            row_number() OVER (PARTITION BY w ORDER BY pos) AS rn
-                        FROM step WHERE NOT done AND depth < {STEPS}
-                    ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-                )
-            )
+    (
+        WITH live AS (
+            SELECT *, row_number() OVER (ORDER BY s) AS rn FROM step WHERE NOT done AND depth < {STEPS}
+        ), crossing AS (
+            SELECT a.rn AS first, b.rn AS last, o.id FROM places o JOIN live a ON a.s = o.s JOIN live b ON b.e = o.e WHERE b.rn > a.rn
+        ), begin AS (
+            SELECT first AS rn, min(id) AS two, min(CASE WHEN last > first + 1 THEN id END) AS three FROM crossing GROUP BY first
+        ), finish AS (
+            SELECT last AS rn, min(id) AS two, min(CASE WHEN last > first + 1 THEN id END) AS three FROM crossing GROUP BY last
+        ), pair AS (
+            SELECT a.w, a.rn, m.merged, coalesce(fa.two = m.merged, false) AS tie,
+                coalesce(fa.two >= m.merged, true) AND coalesce(bb.two >= m.merged, true)
+                AND coalesce(fb.three > m.merged, true) AND coalesce(ba.three > m.merged, true) AS hit
+            FROM live a JOIN live b ON b.rn = a.rn + 1 AND b.w = a.w JOIN merges m ON m.l = a.tok AND m.r = b.tok
+            LEFT JOIN finish fa ON fa.rn = a.rn LEFT JOIN finish fb ON fb.rn = b.rn
+            LEFT JOIN begin ba ON ba.rn = a.rn LEFT JOIN begin bb ON bb.rn = b.rn
+        ), linked AS (
+            SELECT *, CASE WHEN hit AND lag(hit) OVER o AND lag(merged) OVER o = merged AND lag(rn) OVER o = rn - 1 THEN 0 ELSE 1 END AS fresh
+            FROM pair WINDOW o AS (ORDER BY rn)
+        ), runs AS (
+            SELECT *, sum(fresh) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS run FROM linked
+        ), judged AS (
+            SELECT w, rn, merged, hit AND NOT first(tie) OVER o AND (rn - first(rn) OVER o) % 2 = 0 AS sure
+            FROM runs WINDOW o AS (PARTITION BY run ORDER BY rn)
+        ), taken AS (
+            SELECT rn, merged
+            FROM (SELECT *, bool_or(sure) OVER (PARTITION BY w) AS settled, row_number() OVER (PARTITION BY w ORDER BY merged, rn) AS turn FROM judged)
+            WHERE sure OR (NOT settled AND turn = 1)
         )
+        SELECT l.depth + 1, c.w IS NULL, l.w, l.s, CASE WHEN t.rn IS NULL THEN l.e ELSE n.e END, coalesce(t.merged, l.tok)
+        FROM live l LEFT JOIN (SELECT DISTINCT w FROM pair) c ON c.w = l.w LEFT JOIN taken t ON t.rn = l.rn
+        LEFT JOIN taken gone ON gone.rn = l.rn - 1 LEFT JOIN live n ON n.rn = l.rn + 1
+        WHERE gone.rn IS NULL
     )
-    WHERE NOT gone
 )
-SELECT w, tok, done FROM step WHERE done OR depth = {STEPS} ORDER BY w, pos
+SELECT w, s, e, tok, done FROM step WHERE done OR depth = {STEPS} ORDER BY s
 """
 
-#: One thread aggregates the sorted rows in their order; sorting once is cheaper than in every group.
 _DECODE = """
-SELECT doc, from_hex(string_agg(hex, '')) AS bytes
-FROM (SELECT doc, pos, hex FROM tokens t JOIN vocabulary v ON v.id = t.id ORDER BY pos) GROUP BY doc ORDER BY doc
+SELECT doc, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc ORDER BY doc
 """
 
 
@@ -125,21 +154,41 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(i)
         l, r, m = (np.array(x, dtype=np.int32) for x in (left, right, merged))
-        lowest = np.full(len(tokens), len(tokens), dtype=np.int32)  # lowest rank of a merge that takes this token
-        np.minimum.at(lowest, l, m)
-        np.minimum.at(lowest, r, m)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '256MB'")
-        given = pa.table({"l": l, "r": r, "merged": m, "whole": lowest[m] > m})
-        self.db.register("given", given)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.unregister("given")
-        given = pa.table({"id": np.arange(len(tokens), dtype=np.int32), "hex": [t.hex() for t in tokens]})
-        self.db.register("given", given)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.db.unregister("given")
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
+        self.db.execute("SET temp_directory = ''")  # nothing is written to the machine's folders
+        self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens], dtype=np.int64)
+        self.load("merges", {"l": l, "r": r, "merged": m})
+        self.load("vocabulary", {"id": np.arange(len(tokens), dtype=np.int32), "hex": [t.hex() for t in tokens]})
         self.cache: dict[str, bytes] = {}
+        self.ready = False
+
+    def load(self, name: str, columns: dict) -> None:
+        self.db.register("given", pa.table(columns))
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
+
+    def build_trie(self) -> None:
+        """The vocabulary's trie, for long words only: one row for each node, by its parent and byte."""
+        if self.ready:
+            return
+        nodes: dict[tuple[int, int], int] = {}
+        ids: dict[int, int] = {}
+        for i, token in enumerate(self.tokens):
+            node = 0
+            for b in token:
+                node = nodes.setdefault((node, b), len(nodes) + 1)
+            if len(token) > 1:
+                ids[node] = i
+        columns = {
+            "node": np.array([k for k, _ in nodes], dtype=np.int32),
+            "byte": np.array([b for _, b in nodes], dtype=np.uint8),
+            "child": np.array(list(nodes.values()), dtype=np.int32),
+            "id": pa.array([ids.get(c) for c in nodes.values()], pa.int32()),
+        }
+        self.load("trie", columns)
+        self.ready = True
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words by the recursive query."""
@@ -150,23 +199,60 @@ class Codec:
                 for i, ids in zip(part, self.contract([words[i] for i in part])):
                     out[i] = ids
             return out
-        tok = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        tok = self.byte[data]
         if (tok < 0).any():
             raise ValueError("the vocabulary lacks single bytes of the text")
+        if sizes.max() >= LONG:
+            return self.contract_long(words, data, tok, sizes)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        first = np.cumsum(sizes) - sizes
+        pos = (np.arange(len(tok)) - np.repeat(first, sizes)).astype(np.int32)
+        self.db.register("start", pa.table({"w": word, "pos": pos, "tok": tok}))
+        got = self.db.execute(_SHORT).fetchnumpy()
+        self.db.unregister("start")
+        out: list[bytes] = [b""] * len(words)
+        self.deal(out, np.ascontiguousarray(got["w"]), np.ascontiguousarray(got["tok"]))
+        return out
+
+    @staticmethod
+    def deal(out: list[bytes], word: np.ndarray, tok: np.ndarray) -> None:
+        """Ids of finished words, which lie together, to their places."""
+        cuts = np.flatnonzero(np.diff(word)) + 1
+        for k, part in zip(word[np.concatenate(([0], cuts))] if len(word) else (), np.split(tok.astype("<u4"), cuts)):
+            out[k] = part.tobytes()
+
+    def contract_long(self, words: list[bytes], data: np.ndarray, tok: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
+        if len(words) > 1 and len(data) > LONG_BYTES:  # a query holds LONG_BYTES or one word
+            group = (np.cumsum(sizes) - sizes) // LONG_BYTES
+            for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(group)) + 1):
+                if len(part) < len(words):
+                    for i, ids in zip(part, self.contract([words[i] for i in part])):
+                        out[i] = ids
+                    continue
+                half = len(part) // 2
+                return self.contract(words[:half]) + self.contract(words[half:])
+            return out
+        self.build_trie()
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB + len(data) // WORD_BYTES_A_MB}MB'")
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        at = np.arange(len(tok), dtype=np.int32)
+        self.load("bytes", {"w": word, "at": at, "byte": data})
+        self.db.execute("CREATE OR REPLACE TABLE places (s INT, e INT, id INT)")
+        for low in range(0, len(data), LONG_BYTES):
+            self.db.execute(_PLACES, [low, low + LONG_BYTES])
+        start = at
         while len(tok):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            pos = np.arange(len(tok), dtype=np.int32) - np.repeat(first, np.diff(np.append(first, len(tok)))).astype(np.int32)
-            self.db.register("start", pa.table({"w": word, "pos": pos, "tok": tok}))
-            got = self.db.execute(_SHORT if sizes.max() < LONG else _LONG).fetchnumpy()
+            end = (start + self.sizes[tok]).astype(np.int32)
+            self.db.register("start", pa.table({"w": word, "s": start, "e": end, "tok": tok}))
+            got = self.db.execute(_LONG).fetchnumpy()
             self.db.unregister("start")
-            w, tok, done = (np.ascontiguousarray(got[k]) for k in ("w", "tok", "done"))
-            ready, ids = w[done], tok[done].astype("<u4")
-            cuts = np.flatnonzero(np.diff(ready)) + 1
-            for k, part in zip(ready[np.concatenate(([0], cuts))] if len(ready) else (), np.split(ids, cuts)):
-                out[k] = part.tobytes()
-            word, tok = w[~done].astype(np.int32), tok[~done].astype(np.int32)
+            word, start, tok, done = (np.ascontiguousarray(got[k]) for k in ("w", "s", "tok", "done"))
+            self.deal(out, word[done], tok[done])
+            word, start, tok = word[~done].astype(np.int32), start[~done].astype(np.int32), tok[~done].astype(np.int32)
+        self.db.execute("DROP TABLE bytes; DROP TABLE places")
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -241,13 +327,20 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(tokens, pattern: str) -> Codec:
-    """One codec for each vocabulary and worker; workers outlive tasks."""
-    key = (tokens.id if hasattr(tokens, "id") else id(tokens), pattern)
-    if key not in _CODECS:
+def _codec(vocabulary, pattern: str) -> Codec:
+    """One codec for each vocabulary, known by its digest, and worker; workers outlive tasks."""
+    digest, tokens = vocabulary.value
+    if (digest, pattern) not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(tokens.value, pattern)
-    return _CODECS[key]
+        _CODECS[digest, pattern] = Codec(tokens, pattern)
+    return _CODECS[digest, pattern]
+
+
+def _shared(spark, path: str):
+    """The vocabulary and its digest, broadcast: its size is the vocabulary's, whatever the data."""
+    tokens = read_ranks(path)
+    whole = b"".join(len(t).to_bytes(4, "little") + t for t in tokens)
+    return spark.sparkContext.broadcast((hashlib.blake2b(whole, digest_size=16).hexdigest(), tokens))
 
 
 def id_lists(ids: list[bytes]) -> pa.Array:
@@ -279,11 +372,11 @@ def encode(
 ) -> DataFrame:
     """doc_id, ids (binary: little-endian 32-bit ids; with ``lists`` an array of int), n_tokens; with decode_back the decoded bytes too.
 
-    The rank file is read on the driver and broadcast: its size is the vocabulary's, whatever the data.
+    The rank file is read on the driver.
     """
     spark = df.sparkSession
     small_batches(spark)
-    tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    tokens = _shared(spark, ranks_path)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = with_id(docs, f"ids {'array<int>' if lists else 'binary'}" + ", decoded binary" * decode_back)
     out = docs.mapInArrow(_kernel(tokens, pattern, decode_back, lists), schema)
@@ -304,6 +397,6 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     """doc_id, decoded (binary) of a column of little-endian 32-bit ids."""
     spark = df.sparkSession
     small_batches(spark)
-    tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    tokens = _shared(spark, ranks_path)
     given = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return given.mapInArrow(_decoder(tokens, r"\s+|\S+"), with_id(given, "decoded binary"))
