@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch sent to Python; long texts also split by maxBytesPerBatch.
@@ -27,9 +32,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (local tests)."""
+    """The folder that all executors see. Where the session names none, a local master gets one of its own; a cluster fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = tempfile.mkdtemp(prefix="parchline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,20 +51,53 @@ class Stage:
     """Intermediate tables under one run folder of the shared directory.
 
     Written tables cut lineage and survive the loss of any executor. Superseded
-    tables are removed with ``drop``; the rest stay, as lazy results read them.
+    tables are removed with ``drop``; those that a lazy result reads stay until ``passing``
+    or the folder's owner removes them.
     """
 
+    made: list[Stage] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/parchline/{name}-{uuid.uuid4().hex}"
+        Stage.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes at its end the tables of all stages begun inside; what is still needed must be written elsewhere by then."""
+    before = len(Stage.made)
+    try:
+        yield
+    finally:
+        for stage in Stage.made[before:]:
+            stage.drop()
+        del Stage.made[before:]
+
+
+#: A key is hot when it holds this share of all rows or more; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the one row that ``counted`` has for their keys (inner). Its column ``n`` says how many of the ``total`` rows have the key.
+
+    Hot keys, at most 1 / HOT_SHARE of them, are broadcast and their rows stay where they are; the rest is shuffled, and no key
+    of it holds more than HOT_SHARE of the rows.
+    """
+    hot = F.col("n") >= max(2.0, HOT_SHARE * total)
+    found = F.broadcast(counted.where(hot))
+    few = rows.join(F.broadcast(counted.where(hot).select(*keys)), keys, "left_anti").join(counted.where(~hot), keys)
+    return rows.join(found, keys).select(*few.columns).unionByName(few)
 
 
 # --- bytes -----------------------------------------------------------------
@@ -66,21 +106,31 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(0, dtype=np.uint64)] * 2
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = max(n, PIECE + 4096)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, b, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Primes under 2^31 and bases for the words' hashes; a byte counts as its value and one.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1_103_515_245, 1_664_525_013)
+_BYTE = np.arange(1, 257, dtype=np.uint64)
+#: Longer words are hashed one by one, as sums over them would not fit 64 bits.
+LONG_WORD = 1 << 16
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime base^i and base^-i for i < n."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = 1 << max(n, PIECE + 4096).bit_length()
+        _POWERS.clear()
+        for prime, base in zip(_PRIMES, _BASES):
+            both = []
+            for b in (base, pow(base, -1, prime)):
+                out = np.ones(size, dtype=np.uint64)
+                k = 1
+                while k < size:
+                    out[k : 2 * k] = out[:k] * np.uint64(pow(b, k, prime)) % np.uint64(prime)
+                    k *= 2
+                both.append(out)
+            _POWERS.append((both[0], both[1]))
+    return [(p[:n], q[:n]) for p, q in _POWERS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,10 +152,20 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_piece(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(len(buf) + 1)
+    """Polynomials of the words' bytes modulo two primes, 62 bits; running sums serve all words at once.
+
+    A word's sum is exact modulo 2^64, as it stays below 2^8 * 2^31 * LONG_WORD.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for prime, (power, inverse) in zip(_PRIMES, _powers(len(buf) + 1)):
+        np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
+        part = (total[ends] - total[starts]) % np.uint64(prime) * inverse[starts] % np.uint64(prime)
+        out = (out << np.uint64(31)) | part
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = buf[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"long word").digest(), "little")
+    return mix(out)
 
 
 def word_hashes(texts: list[bytes], lower: bool) -> list[np.ndarray]:

@@ -8,8 +8,8 @@ one logistic unit. Adam fits all weights on the fitting sample; a parameter set
 of about 40 kB is broadcast.
 
 Defined results. Null and empty texts count as one blank and are scored as such. Repeated
-rows and null ids are scored row by row; extra columns are ignored. Memory follows
-PART, not the text's length. Without labelled rows of both kinds every text scores 0.0.
+rows and null ids are scored row by row; extra columns are ignored. Besides the text
+itself PART cells are held, whatever its length. Without labelled rows of both kinds every text scores 0.0.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, to_bytes, with_id
-from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, calibrate, fitting_sample
+from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, apart, calibrate, fitting_sample
 
 FILTERS, WIDTH = 8, 5
 CELL, CHUNK, STRIDE = 16, 32, 24
@@ -37,28 +37,42 @@ class Model:
         self.filters, self.bias, self.out, self.shift = filters, bias, out, shift
         self.scale, self.offset = 1.0, 0.0
 
-    def cells(self, buf: np.ndarray) -> np.ndarray:
-        """Rectified maxima of each cell of CELL positions, part by part."""
+    def cells(self, buf: np.ndarray) -> Iterator[np.ndarray]:
+        """Rectified maxima of each cell of CELL positions, PART cells at a time."""
         n = max(1, len(buf) - WIDTH + 1)
         count = -(-n // CELL)
-        padded = np.concatenate((buf, np.zeros(count * CELL + WIDTH - 1 - len(buf), dtype=np.uint8))) if count * CELL + WIDTH - 1 > len(buf) else buf
-        out = np.empty((count, FILTERS), dtype=np.float32)
         for i in range(0, count, PART):
             k = min(PART, count - i)
-            x = padded[i * CELL : (i + k) * CELL + WIDTH - 1]
+            x = buf[i * CELL : (i + k) * CELL + WIDTH - 1]
+            missing = k * CELL + WIDTH - 1 - len(x)
+            if missing > 0:
+                x = np.concatenate((x, np.zeros(missing, dtype=np.uint8)))
             h = self.filters[0][x[: k * CELL]]
             for j in range(1, WIDTH):
                 h += self.filters[j][x[j : j + k * CELL]]
-            out[i : i + k] = h.reshape(k, CELL, FILTERS).max(axis=1)
-        return np.maximum(out + self.bias, 0)
+            yield np.maximum(h.reshape(k, CELL, FILTERS).max(axis=1) + self.bias, 0)
 
     def raw(self, text: bytes) -> float:
-        cells = self.cells(np.frombuffer(text or b" ", dtype=np.uint8))
-        total = np.concatenate((np.zeros((1, FILTERS)), np.cumsum(cells, axis=0, dtype=np.float64)))
-        starts = np.arange(0, max(1, len(cells) - (CHUNK - STRIDE)), STRIDE)
-        ends = np.minimum(starts + CHUNK, len(cells))
-        chunks = (total[ends] - total[starts]) / (ends - starts)[:, None]
-        return float(np.concatenate((chunks.mean(axis=0), chunks.max(axis=0))) @ self.out + self.shift)
+        """The logistic unit's sum. Chunks are averaged part by part; a part keeps the cells that the next one's chunks begin in."""
+        held = np.zeros((0, FILTERS), dtype=np.float32)
+        total, most, chunks = np.zeros(FILTERS), np.full(FILTERS, -np.inf), 0
+
+        def take(starts: np.ndarray, ends: np.ndarray) -> None:
+            nonlocal total, most, chunks
+            sums = np.concatenate((np.zeros((1, FILTERS)), np.cumsum(held, axis=0, dtype=np.float64)))
+            mean = (sums[ends] - sums[starts]) / (ends - starts)[:, None]
+            total, most, chunks = total + mean.sum(axis=0), np.maximum(most, mean.max(axis=0)), chunks + len(mean)
+
+        for part in self.cells(np.frombuffer(text or b" ", dtype=np.uint8)):
+            held = np.concatenate((held, part))
+            whole = max(0, (len(held) - CHUNK) // STRIDE)
+            if whole:
+                starts = np.arange(whole) * STRIDE
+                take(starts, starts + CHUNK)
+                held = held[whole * STRIDE :]
+        starts = np.arange(0, max(1, len(held) - (CHUNK - STRIDE)), STRIDE)
+        take(starts, np.minimum(starts + CHUNK, len(held)))
+        return float(np.concatenate((total / chunks, most)) @ self.out + self.shift)
 
     def score(self, text: bytes) -> float:
         if not self.scale:
@@ -95,10 +109,11 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 6, per: int = 4, ba
     if not (y == 0).any() or not (y == 1).any():
         model.scale = 0.0
         return model
+    kept, other = apart(y)
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     first, second, step = [np.zeros(p.shape) for p in params], [np.zeros(p.shape) for p in params], 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(kept)
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
             grads = _gradients(params, *_crops([texts[r] for r in rows], rng, per), y[rows], balance[rows])
@@ -109,7 +124,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 6, per: int = 4, ba
                 move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                 params[k] = (params[k] - move).astype(params[k].dtype)
     model = Model(params[0], params[1], params[2], float(params[3][0]))
-    model.scale, model.offset = calibrate(np.array([model.raw(t) for t in texts]), y.astype(int), THRESHOLD)
+    model.scale, model.offset = calibrate(np.array([model.raw(texts[i]) for i in other]), y[other].astype(int), THRESHOLD)
     return model
 
 

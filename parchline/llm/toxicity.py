@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, to_bytes, with_id
-from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, calibrate, fitting_sample
+from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, apart, calibrate, fitting_sample
 
 N_GRAMS = (5, 7)
 BITS = 20
@@ -120,11 +120,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, penalty: float
     y = np.array(labels, dtype=np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0)
-    # Every eighth text of each label only calibrates: sums over texts that were fitted are too sure of themselves.
-    order = np.concatenate([np.flatnonzero(y == k) for k in (0, 1)])
-    rank = np.concatenate([np.arange((y == k).sum()) for k in (0, 1)])
-    apart = order[rank % 8 == 7] if min((y == 0).sum(), (y == 1).sum()) >= 16 else order
-    kept = np.setdiff1d(order, apart) if len(apart) < len(order) else order
+    kept, other = apart(y)
     ratio = log_count_ratios([texts[i] for i in kept], y[kept])
     useful, given = ratio != 0, []
     for i in kept:
@@ -146,8 +142,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, penalty: float
             weight[bag] -= 0.1 * slope / np.sqrt(square[bag])
             bias -= 0.01 * g
     model = Model((ratio * weight).astype(np.float32), 1.0, 0.0)
-    raw = np.array([model.raw(texts[i]) for i in apart])
-    return Model(model.table, *calibrate(raw, y[apart], THRESHOLD))
+    raw = np.array([model.raw(texts[i]) for i in other])
+    return Model(model.table, *calibrate(raw, y[other], THRESHOLD))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
