@@ -7,12 +7,12 @@ of them in repeated 5-word windows.
 Bands. The ratio of a text's bytes to its zstandard size must lie between limits that
 depend on its length, for the whole text and for its fixed chunks of CHUNK bytes: above
 the upper limit a text repeats itself, below the lower one it is noise. A text is rejected
-when its whole, or more than CHUNK_SHARE of its chunks, falls outside. Texts under
-SHORTEST bytes have no meaningful ratio and pass.
+when its whole, or more than CHUNK_SHARE of its chunks, falls outside. A rest of under
+SHORTEST bytes belongs to the last chunk. Texts under SHORTEST bytes have no meaningful ratio and pass.
 
 Defined results. Null and empty texts: all counts 0, base_failed true. Repeated rows and
-null ids are judged row by row; extra columns are ignored. Very long texts are hashed and
-compressed by parts.
+null ids are judged row by row; extra columns are ignored. Very long texts are hashed by
+parts and compressed as a stream whose output is only counted.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import _SPACE, small_batches, to_bytes, window_hashes, with_id, wor
 
 LEVEL = 3
 CHUNK = 4096
+#: Bytes given to a compression stream at once.
+FEED = 1 << 20
 SHORTEST = 200
 CHUNK_SHARE = 0.5
 #: Length in bytes from which the limits hold, lowest and highest ratio allowed.
@@ -62,7 +64,11 @@ class Compressor:
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
 
     def ratio(self, data: bytes) -> float:
-        return len(data) / len(self.zstd.compress(data))
+        if len(data) <= FEED:
+            return len(data) / len(self.zstd.compress(data))
+        stream = self.zstd.compressobj(size=len(data))
+        size = sum(len(stream.compress(data[i : i + FEED])) for i in range(0, len(data), FEED))
+        return len(data) / (size + len(stream.flush()))
 
     def judge(self, text: bytes) -> tuple[float | None, int, int, bool]:
         """Whole ratio, chunks, chunks outside their band, verdict."""
@@ -72,10 +78,9 @@ class Compressor:
         low, high = limits(len(text))
         ok = low <= whole <= high
         chunks = outside = 0
-        for i in range(0, len(text), CHUNK):
-            part = text[i : i + CHUNK]
-            if i and len(part) < SHORTEST:
-                break
+        count = max(1, (len(text) + CHUNK - SHORTEST) // CHUNK)
+        for i in range(0, count * CHUNK, CHUNK):
+            part = text[i : i + CHUNK] if i < (count - 1) * CHUNK else text[i:]
             low, high = limits(len(part))
             chunks += 1
             outside += not low <= self.ratio(part) <= high
