@@ -6,12 +6,12 @@ exact hits in one pass over a text; each hit places a window that Myers' bit-par
 algorithm verifies by the item's edit distance to the window's best substring.
 Texts and items are compared in lower case with white space folded to one blank.
 
-The automaton holds the benchmark, which is broadcast after its size is checked
-(MAX_ITEMS_BYTES; more raises an error that says so: run it by parts of the benchmark then,
-and unite the hits). Documents are scanned where they lie, without a shuffle.
+An automaton holds PART_BYTES of the benchmark, or one item, which are broadcast. A larger benchmark goes by parts: each
+scans all documents, whose hits so far are written to the shared folder in between. Documents are
+scanned where they lie, without a shuffle; a worker builds a part's automaton once.
 
-Defined results. Null and empty texts hit nothing; null, empty and repeated items:
-empty ones match nothing, each repeated row is an item of its own. Repeated documents and null
+Defined results. Null and empty texts hit nothing; null and empty items match nothing; rows that repeat an
+item's id and text count once. Repeated documents and null
 ids are scanned row by row. Extra columns are ignored. Items too short for two
 pieces of MIN_PIECE characters have no error budget: they match exactly. An empty
 benchmark or empty documents give no hits.
@@ -19,17 +19,19 @@ benchmark or empty documents give no hits.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_id
+from .common import Stage, small_batches, with_id
 
 #: Share of an item's characters that may be edited; shortest piece of an item.
 ERROR_RATE, MIN_PIECE = 0.08, 11
-MAX_ITEMS_BYTES = 64 << 20
+#: Bytes of the items that one scan looks for.
+PART_BYTES = 2 << 20
 
 
 def fold(text: str | None) -> str:
@@ -128,28 +130,80 @@ class Searcher:
         return out
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, hits (array of item_id, distance, end) of every document, by item_id."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    given = items.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
-    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_ITEMS_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes, over MAX_ITEMS_BYTES = {MAX_ITEMS_BYTES}; match it by parts")
-    shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in given.collect()])
+_HITS = "array<struct<item_id:bigint,distance:bigint,end:bigint>>"
+_SEARCHERS: dict[str, Searcher] = {}
+
+
+def _searcher(part) -> Searcher:
+    """One automaton for each part of a benchmark, known by its digest, and worker; workers outlive tasks."""
+    digest, items = part.value
+    if digest not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[digest] = Searcher(items)
+    return _SEARCHERS[digest]
+
+
+def _parts(items: DataFrame, limit: int) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+    """The items in parts of about ``limit`` bytes at most, or of one item, with each part's digest."""
+    sized = items.where("octet_length(text) > 0").distinct()
+    total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-total // limit))
+    while True:
+        dealt = sized.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+        sizes = dealt.groupBy("part").agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
+        if sizes.where(f"size > {2 * limit} AND n > 1").isEmpty():
+            break
+        count *= 2
+    for k in range(count):
+        rows = [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == k).collect()]
+        if rows:
+            yield hashlib.blake2b(repr(sorted(rows, key=repr)).encode("utf-8", "replace"), digest_size=16).hexdigest(), rows
+
+
+def _scan(rows: DataFrame, part: tuple[str, list], texts: bool) -> DataFrame:
+    """``rows`` (doc_id, text, hits) with the part's hits added; without ``texts`` the texts go."""
+    shared = rows.sparkSession.sparkContext.broadcast(part)
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(shared.value)
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())]))
+        searcher = _searcher(shared)
         for batch in batches:
             found = [
-                [{"item_id": i, "distance": d, "end": e} for i, d, e in sorted(searcher.hits(t), key=lambda h: (h[0] is None, h[0] or 0))]
-                for t in batch.column("text").to_pylist()
+                (old or []) + [{"item_id": i, "distance": d, "end": e} for i, d, e in searcher.hits(t)]
+                for old, t in zip(batch.column("hits").to_pylist(), batch.column("text").to_pylist())
             ]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "hits": pa.array(found, kind)})
+            kept = {"text": batch.column("text")} if texts else {}
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), **kept, "hits": pa.array(found, kind)})
+
+    return rows.mapInArrow(run, with_id(rows, "text string, " * texts + f"hits {_HITS}"))
+
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, with_id(rows, "hits array<struct<item_id:bigint,distance:bigint,end:bigint>>"))
+def matches(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """doc_id, hits (array of item_id, distance, end) of every document, by item_id."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    given = items.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast(_HITS).alias("hits"))
+    parts = _parts(given, part_bytes)
+    part, k, stage = next(parts, None), 0, Stage(spark, "decontaminate")
+    while part is not None:
+        after = next(parts, None)
+        if after is None:
+            rows = _scan(rows, part, texts=False)
+        else:
+            rows = stage.save(_scan(rows, part, texts=True), f"part-{k}")
+            if k:
+                stage.drop(f"part-{k - 1}")
+        part, k = after, k + 1
+    return rows.select("doc_id", F.coalesce(F.array_sort("hits"), F.array().cast(_HITS)).alias("hits"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -13,8 +13,10 @@ Two cascades: one over all rules' keys (does a rule fit?), one over the blocking
 A url that no rule fits gets ``default``.
 
 Scale. Level 1 has a false positive rate of about listed / universe, so a cascade's
-size follows the list of rules, which is the caller's; MAX_BITS is checked. Keys are hashed in the JVM; a
-level's bits come from a distributed distinct of bit positions (at most its bits many), never from collected
+size follows the list of rules, which is the caller's. A cascade takes PART_RULES rules; a longer list goes by
+parts, each with cascades of its own over its part of the candidate keys, and the longest of the parts' rules
+wins. So no level has more than about 40 * PART_RULES bits. Keys are hashed in the JVM; a
+level's bits come from a distributed aggregation of bit positions, never from collected
 keys. Urls are judged row by row; only the universe's distinct keys are shuffled.
 
 Defined results. Null urls or urls without ``://``: empty host and path, no rule, the default. Repeated
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Stage
 
-#: Hash functions of a level; most bits of a level (8 MB of broadcast literal).
-HASHES, MAX_BITS = 4, 1 << 26
+#: Hash functions of a level; rules of one cascade.
+HASHES, PART_RULES = 4, 2000
 MAX_LEVELS = 40
 
 
@@ -89,8 +91,6 @@ def _test(key: str, level: int, bits: int, words: list[int]) -> str:
 def _bits(keys: DataFrame, level: int, count: int, rate: float) -> tuple[int, list[int]]:
     """A level's bits: distinct positions of all its keys, at most as many as it has bits."""
     bits = max(64, 64 * math.ceil(-count * math.log(min(rate, 0.5)) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"a cascade level needs {bits} bits, over MAX_BITS = {MAX_BITS}: split the list of rules")
     words = [0] * (bits // 64)
     rows = keys.select(F.explode(F.expr(_positions("key", level, bits))).alias("p")).groupBy((F.col("p") / 64).cast("bigint").alias("w"))
     for row in rows.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v")).collect():
@@ -98,10 +98,11 @@ def _bits(keys: DataFrame, level: int, count: int, rate: float) -> tuple[int, li
     return bits, words
 
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """The cascade that tells ``listed`` keys from the other keys of ``universe`` (both: distinct ``key``)."""
-    inside = universe.join(F.broadcast(listed), "key", "left_semi")
-    outside = universe.join(F.broadcast(listed), "key", "left_anti")
+def build(listed: list[str], universe: DataFrame) -> Cascade:
+    """The cascade that tells ``listed`` keys, PART_RULES at most, from the other keys of ``universe`` (distinct ``key``)."""
+    if len(listed) > PART_RULES:
+        raise ValueError(f"a cascade takes {PART_RULES} keys; judge() deals longer lists out")
+    inside, outside = universe.where(F.col("key").isin(listed)), universe.where(~F.col("key").isin(listed))
     n, others = inside.count(), outside.count()
     levels: list[tuple[int, list[int]]] = []
     rate = min(0.5, max(n, 1) / max(others, 1))
@@ -122,7 +123,9 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade([])
 
 
-def judge(df: DataFrame, block: list[str], allow: list[str], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(
+    df: DataFrame, block: list[str], allow: list[str], id_col: str = "page_id", url_col: str = "url", default: str = "allow", part_rules: int = PART_RULES
+) -> DataFrame:
     """page_id, host, path, rule, verdict of every row. A key on both lists allows."""
     spark = df.sparkSession
     block = [r for r in dict.fromkeys(block) if r not in allow]
@@ -132,15 +135,23 @@ def judge(df: DataFrame, block: list[str], allow: list[str], id_col: str = "page
     pages = pages.selectExpr("page_id", f"{host} host", f"{path} path")
     if not rules:
         return pages.selectExpr("page_id", "host", "path", "cast(null AS string) rule", f"'{default}' verdict")
-    keyed = pages.withColumn("keys", F.expr(candidates("host", "path", rules)))
     stage = Stage(spark, "urls")
-    universe = stage.save(keyed.select(F.explode("keys").alias("key")).distinct(), "universe")
-
-    def listed(keys: list[str]) -> DataFrame:
-        return spark.createDataFrame([(k,) for k in keys], "key string")
-
-    fits, blocks = build(listed(rules), universe), build(listed(block), universe)
-    out = keyed.withColumn("rule", F.expr(f"get(filter(keys, k -> {fits.holds('k')}), 0)") if fits.levels else F.lit(None).cast("string"))
-    says = f"CASE WHEN rule IS NULL THEN '{default}' WHEN {blocks.holds('rule')} THEN 'block' ELSE 'allow' END"
-    return out.withColumn("verdict", F.expr(says)).select("page_id", "host", "path", "rule", "verdict")
-
+    best = pages.selectExpr("page_id", "host", "path", "cast(null AS string) rule", "cast(null AS boolean) blocks")
+    parts = [rules[i : i + part_rules] for i in range(0, len(rules), part_rules)]
+    for k, part in enumerate(parts):
+        keyed = best.withColumn("keys", F.expr(candidates("host", "path", part)))
+        universe = stage.save(keyed.select(F.explode("keys").alias("key")).distinct(), f"universe-{k}")
+        fits, blocks = build(part, universe), build([r for r in part if r in set(block)], universe)
+        found = keyed.withColumn("found", F.expr(f"get(filter(keys, k -> {fits.holds('k')}), 0)") if fits.levels else F.lit(None).cast("string"))
+        found = found.withColumn("says", F.expr(blocks.holds("found")))
+        stage.drop(f"universe-{k}")
+        longer = "found IS NOT NULL AND (rule IS NULL OR char_length(found) > char_length(rule) OR (char_length(found) = char_length(rule) AND locate('/', found) > locate('/', rule)))"
+        best = found.selectExpr(
+            "page_id", "host", "path", f"CASE WHEN {longer} THEN found ELSE rule END rule", f"CASE WHEN {longer} THEN says ELSE blocks END blocks"
+        )
+        if k < len(parts) - 1:
+            best = stage.save(best, f"best-{k}")
+            if k:
+                stage.drop(f"best-{k - 1}")
+    verdict = f"CASE WHEN rule IS NULL THEN '{default}' WHEN blocks THEN 'block' ELSE 'allow' END verdict"
+    return best.selectExpr("page_id", "host", "path", "rule", verdict)
