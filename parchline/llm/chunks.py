@@ -20,8 +20,8 @@ not the first place (smallest doc_id, then position) of their chunks, be it in t
 document; removing them leaves every passage in the corpus once.
 
 Scale. Digests are counted with partial aggregation (one row for a digest and map
-task, however many places it has), then joined back to the places; the join is a plain
-equi-join whose hot keys AQE may split. Only repeated digests' places go
+task, however many places it has), then joined back to the places: digests that hold a thousandth
+of all places are broadcast, a thousand at most; the others' places are shuffled. Only repeated digests' places go
 on to the grouping by document. No group of places is ever collected.
 
 Defined results. Null and empty texts have no chunks. Each row of the input counts as a
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, Stage, small_batches, to_bytes
+from .common import PIECE, Stage, join_counted, small_batches, to_bytes, with_id
 
 WINDOW = 16
 #: Positions of which the smallest hash is a cut; chunks have half of that on average.
@@ -58,6 +58,8 @@ def _least(keys: np.ndarray) -> np.ndarray:
         keys = np.minimum(keys[:-width], keys[width:])
         width *= 2
     return keys if width == SPAN else np.minimum(keys[: width - SPAN], keys[SPAN - width :])
+
+
 def _candidates(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose hash of the last WINDOW bytes is the first smallest of SPAN neighbours, and which are the only smallest; long texts go by parts."""
     hits, alone = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
@@ -115,8 +117,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         yield pa.record_batch(
             {
-                "row_no": batch.column("row_no").take(index),
                 "doc_id": batch.column("doc_id").take(index),
+                "row_no": batch.column("row_no").take(index),
                 "d0": pa.array(both[:, 0].copy()),
                 "d1": pa.array(both[:, 1].copy()),
                 "start": pa.array(starts, pa.int64()),
@@ -127,13 +129,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _passages(column: str) -> str:
     """SQL: neighbouring (start, size) of a sorted array joined to [start, end) spans of PASSAGE bytes or more."""
-    grown = (
-        f"aggregate({column}, cast(array() AS array<struct<start:bigint,end:bigint>>), (spans, c) -> "
-        "CASE WHEN size(spans) > 0 AND element_at(spans, -1).end = c.start "
-        "THEN concat(slice(spans, 1, size(spans) - 1), array(named_struct('start', element_at(spans, -1).start, 'end', c.start + c.size))) "
-        "ELSE concat(spans, array(named_struct('start', c.start, 'end', c.start + c.size))) END)"
-    )
-    return f"filter({grown}, s -> s.end - s.start >= {PASSAGE})"
+    opens = "x -> x.i = 0 OR get({0}, x.i - 1).start + get({0}, x.i - 1).size <> x.start".format(column)
+    closes = "x -> x.i = size({0}) - 1 OR get({0}, x.i + 1).start <> x.start + x.size".format(column)
+    placed = f"transform({column}, (c, i) -> named_struct('i', i, 'start', c.start, 'size', c.size))"
+    joined = f"zip_with(filter({placed}, {opens}), filter({placed}, {closes}), (a, b) -> named_struct('start', a.start, 'end', b.start + b.size))"
+    return f"filter({joined}, s -> s.end - s.start >= {PASSAGE})"
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,14 +141,16 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = df.sparkSession
     small_batches(spark)
     stage = Stage(spark, "chunks")
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("row_no", F.monotonically_increasing_id())
-    places = docs.mapInArrow(_chunk_rows, "row_no bigint, doc_id bigint, d0 bigint, d1 bigint, start bigint, size bigint")
+    places = docs.mapInArrow(_chunk_rows, with_id(docs, "row_no bigint, d0 bigint, d1 bigint, start bigint, size bigint"))
     places = stage.save(places, "places")
-    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row_no", "start")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "start")
     known = places.where("start >= 0").groupBy("d0", "d1").agg(F.min(at).alias("first"), F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.count(F.lit(1)).alias("n"))
-    known = known.where("n > 1").selectExpr("d0", "d1", "first.row_no first_row", "first.start first_start", "low <> high across")
-    repeats = places.where("start >= 0").join(known, ["d0", "d1"]).selectExpr(
+    known = known.where("n > 1").selectExpr("d0", "d1", "first.row_no first_row", "first.start first_start", "low <> high across", "n")
+    known = stage.save(known, "known")
+    chunks = places.where("start >= 0")
+    repeats = join_counted(chunks, known, ["d0", "d1"], chunks.count()).selectExpr(
         "row_no", "start", "size", "across", "NOT (row_no = first_row AND start = first_start) extra"
     )
     chunk = F.struct("start", "size", "across", "extra")
