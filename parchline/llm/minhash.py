@@ -12,6 +12,8 @@ Scale.
   never every other node. After these links become components, only nodes outside
   their centre's component meet the rest of the bucket, and a parity sketch, which
   bounds the symmetric difference from below, throws out pairs inside the join.
+* Buckets, neighbours and components that hold a thousandth of all rows are joined by broadcast of
+  their one row, a thousand rows at most, so no task gets a hot one whole.
 * Components come from alternating large-star and small-star steps over tables
   in the shared folder; nothing is collected.
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, small_batches, to_bytes, window_hashes, word_hashes
+from .common import Stage, join_counted, mix, small_batches, to_bytes, window_hashes, with_id, word_hashes
 
 WORDS = 5
 ROWS, BANDS = 4, 28  # at similarity 0.75 one pair in 42,000 shares no band
@@ -141,15 +143,14 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     edges = stage.save(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), f"{name}-0")
     before, k = edges.select(mark.alias("m")).first()["m"], 0
     while before["n"]:
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").selectExpr("v a", "m b").distinct()
+        both, total = edges.union(edges.select("b", "a")).toDF("u", "v"), 2 * before["n"]
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both.where("v > u"), least, ["u"], total).selectExpr("v a", "m b").distinct()
         large = stage.save(large, f"{name}-large-{k}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").selectExpr("b a", "m b").union(least).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_counted(large, least, ["a"], total).selectExpr("b a", "m b").union(least.select("a", "m")).where("a <> b").distinct()
         edges = stage.save(small, f"{name}-{k + 1}")
-        stage.drop(f"{name}-{k}")
-        stage.drop(f"{name}-large-{k}")
+        stage.drop(f"{name}-{k}", f"{name}-large-{k}")
         after, k = edges.select(mark.alias("m")).first()["m"], k + 1
         if after == before:
             break
@@ -157,10 +158,13 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     return edges.selectExpr("a node", "b root")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that the full sets confirm; texts are read again for nodes in pairs only."""
+def _verified(stage: Stage, name: str, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that the full sets confirm; texts are read again for nodes in pairs only.
+
+    The list of these nodes is written first, so that the planner knows its size: where it is small no text is shuffled.
+    """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "rep"), "nid")
-    needed = needed.selectExpr("nid", "rep.doc_id need_id", "rep.text_hash need_hash")
+    needed = stage.save(needed.selectExpr("nid", "rep.doc_id need_id", "rep.text_hash need_hash"), f"{name}-needed")
     texts = (
         docs.join(needed, F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash")))
         .select("nid", "text")
@@ -180,11 +184,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(spark)
     stage = Stage(spark, "minhash")
     docs = df.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("text_hash", F.xxhash64("text"))
     described = stage.save(
         docs.mapInArrow(
-            _describe, "doc_id bigint, text_hash bigint, digest binary, n bigint, bands array<bigint>, parity array<bigint>"
+            _describe, with_id(docs, "text_hash bigint, digest binary, n bigint, bands array<bigint>, parity array<bigint>")
         ),
         "described",
     )
@@ -193,13 +197,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.first("n").alias("n"),
         F.first("bands").alias("bands"),
         F.first("parity").alias("parity"),
+        F.count(F.lit(1)).alias("copies"),
     )
     nodes = stage.save(nodes.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
 
     # Buckets with two nodes or more; each node meets its buckets' two centres.
     buckets = nodes.select("nid", F.explode("bands").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high")
-    met = stage.save(buckets.join(ends, "key"), "met")
+    ends = buckets.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    ends, total = stage.save(ends, "ends"), BANDS * nodes.count()
+    met = stage.save(join_counted(buckets, ends, ["key"], total).drop("n"), "met")
     sketch = nodes.select("nid", "n", "parity")
     pairs = (
         met.select("nid", F.explode(F.array("low", "high")).alias("centre"))
@@ -212,33 +218,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("a", "b")
     )
     pairs = stage.save(pairs, "pairs")
-    links = stage.save(_verified(docs, nodes, pairs), "links")
+    links = stage.save(_verified(stage, "pairs", docs, nodes, pairs), "links")
     roots = components(stage, links, "first")
 
     # Nodes outside their bucket's first centre's component meet the whole bucket.
-    placed = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").selectExpr("key", "nid", "low", "coalesce(root, nid) root")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    placed = stage.save(placed.join(mixed, "key").join(sketch, "nid").select("key", "nid", "root", "r0", "n", "parity"), "mixed")
+    placed = stage.save(met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").selectExpr("key", "nid", "coalesce(root, nid) root"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 < r1")
+    placed = join_counted(placed, mixed, ["key"], total).drop("n").join(sketch, "nid").select("key", "nid", "root", "r0", "n", "parity")
+    placed = stage.save(placed, "mixed")
     rest = placed.where("root <> r0").selectExpr("key rest_key", "nid x", "root root_x", "n n_x", "parity p_x")
     possible = "rest_key = key AND root_x <> root AND " + _similar("n_x", "n", "p_x", "parity")
     more = rest.join(placed, F.expr(possible))
     more = stage.save(
         more.selectExpr("least(x, nid) a", "greatest(x, nid) b").distinct().join(pairs, ["a", "b"], "left_anti"), "more"
     )
-    further = stage.save(_verified(docs, nodes, more), "further")
+    further = stage.save(_verified(stage, "more", docs, nodes, more), "further")
     if not further.isEmpty():
         roots = components(stage, roots.toDF("a", "b").union(further), "second")
 
-    named = nodes.select("nid", "digest", F.col("rep.doc_id").alias("least_id")).join(
-        roots.withColumnRenamed("node", "nid"), "nid", "left"
-    ).selectExpr("digest", "least_id", "nid", "coalesce(root, nid) root")
-    linked = named.where("root <> nid").select("root").distinct()
-    ids = named.join(linked, "root").groupBy("root").agg(F.min("least_id").alias("group_id"))
-    named = named.join(ids, "root", "left").selectExpr("digest", "coalesce(group_id, least_id) component_id")
-    full = described.where("n > 0").select("doc_id", "n", "digest").join(named, "digest")
-    empty = described.where("n = 0").selectExpr("doc_id", "n", "doc_id component_id")
-    return (
-        full.select("doc_id", "n", "component_id")
-        .unionByName(empty)
-        .selectExpr("doc_id", "n n_shingles", "component_id", "doc_id <=> component_id kept")
-    )
+    # Of linked nodes the smallest id of their component; a root is a member of its own.
+    members = roots.union(roots.select("root", "root").distinct()).join(nodes.selectExpr("nid node", "rep.doc_id least_id"), "node")
+    members = stage.save(members, "members")
+    ids = members.groupBy("root").agg(F.min("least_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    grouped = join_counted(members, ids, ["root"], members.count()).selectExpr("node nid", "group_id")
+    named = nodes.selectExpr("nid", "digest", "copies", "rep.doc_id least_id").join(grouped, "nid", "left")
+    named = stage.save(named.selectExpr("digest", "coalesce(group_id, least_id) component_id", "copies n"), "named")
+    stage.drop("ends", "met", "pairs", "pairs-needed", "links", "placed", "mixed", "more", "more-needed", "further", "members", "nodes")
+    rows = described.selectExpr("doc_id", "n n_shingles", "digest")
+    full = join_counted(rows.where("n_shingles > 0"), named, ["digest"], rows.count()).select("doc_id", "n_shingles", "component_id")
+    empty = rows.where("n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id component_id")
+    return full.unionByName(empty).selectExpr("*", "doc_id <=> component_id kept")
