@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchline.llm import bpe, decontaminate, minhash, secrets, toxicity
-from parchline.llm.common import Stage, table
+from parchline.llm.common import Stage, passing, table
 from parchline.llm.queries import tokenizer
 
 
@@ -30,11 +30,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = Stage(spark, "dedup").save(packed.withColumn("row_no", F.monotonically_increasing_id()), "rows")
-    found = minhash.near_duplicates(rows, "row_no", "row.text").selectExpr("doc_id row_no", "component_id")
+    found = minhash.near_duplicates(rows, "row_no", "row.text").selectExpr("doc_id row_no", "component_id", "n_shingles")
+    # Texts without words are linked with nothing; of those that repeat id and text one stays.
+    blank = r"CASE WHEN row.text rlike '[^\\x20\\x09-\\x0D]' THEN null ELSE coalesce(md5(row.text), 'null') END blank"
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
-    groups = found.join(rows.selectExpr("row_no", "row.doc_id doc_id"), "row_no").groupBy("component_id")
-    stay = groups.agg(F.min(order).alias("first")).select("first.row_no")
-    return rows.join(stay, "row_no", "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
+    groups = found.join(rows.selectExpr("row_no", "row.doc_id doc_id", blank), "row_no").selectExpr(
+        "doc_id", "row_no", "CASE WHEN n_shingles > 0 THEN component_id END component_id", "CASE WHEN n_shingles = 0 THEN doc_id END blank_id", "blank"
+    )
+    stay = groups.groupBy("component_id", "blank_id", "blank").agg(F.min(order).alias("first")).select("first.row_no")
+    return rows.join(stay, "row_no", "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +76,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs, stage = table(spark, sf_dir, "documents"), Stage(spark, "pipeline")
+    before = None
     for name, function in STAGES[:-1]:
-        docs = stage.save(function(spark, docs, sf_dir), name)
+        with passing():
+            docs = stage.save(function(spark, docs, sf_dir), name)
+        if before:
+            stage.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
