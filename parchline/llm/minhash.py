@@ -12,6 +12,8 @@ Scale.
   never every other node. After these links become components, only nodes outside
   their centre's component meet the rest of the bucket, and a parity sketch, which
   bounds the symmetric difference from below, throws out pairs inside the join.
+* Only texts of nodes in pairs are shuffled for verification, and a centre's text goes once to
+  each GROUP of its pairs.
 * Buckets, neighbours and components that hold a thousandth of all rows are joined by broadcast of
   their one row, a thousand rows at most, so no task gets a hot one whole.
 * Components come from alternating large-star and small-star steps over tables
@@ -41,6 +43,9 @@ POSITIONS = 1 << 21
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 
+#: Bits of the filter for texts that are needed again; pairs of a node that share one copy of its text.
+FILTER_BITS, GROUP = 1 << 26, 64
+
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -161,21 +166,32 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
 def _verified(stage: Stage, name: str, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that the full sets confirm; texts are read again for nodes in pairs only.
 
-    The list of these nodes is written first, so that the planner knows its size: where it is small no text is shuffled.
+    A filter of bounded size keeps the other texts from the shuffle.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "rep"), "nid")
     needed = stage.save(needed.selectExpr("nid", "rep.doc_id need_id", "rep.text_hash need_hash"), f"{name}-needed")
+    # One bit for each needed row, in at most FILTER_BITS / 64 words, keeps nearly all other texts from the shuffle.
+    place = "pmod(xxhash64({0}, {1}), %dL)" % FILTER_BITS
+    words = needed.selectExpr(f"{place.format('need_id', 'need_hash')} p").selectExpr("p DIV 64 word", "shiftleft(1L, cast(p % 64 AS int)) bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    likely = docs.withColumn("p", F.expr(place.format("doc_id", "text_hash"))).withColumn("word", F.expr("p DIV 64"))
+    likely = likely.join(F.broadcast(words), "word").where("getbit(bits, cast(p % 64 AS int)) = 1").select("doc_id", "text_hash", "text")
     texts = (
-        docs.join(needed, F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash")))
+        likely.join(needed, F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("text_hash") == F.col("need_hash")))
         .select("nid", "text")
         .dropDuplicates(["nid"])
     )
-    joined = (
-        pairs.join(texts.toDF("a", "text_a"), "a")
-        .join(texts.toDF("b", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    return joined.mapInArrow(_confirm, "a bigint, b bigint")
+    total = pairs.count()
+    joined = _with_text(_with_text(pairs, texts, "a", "b", total), texts, "b", "a", total)
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str, total: int) -> DataFrame:
+    """``pairs`` with the text of one side. A node's pairs are dealt out in groups of about GROUP, each of which gets the text once."""
+    load = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+    dealt = join_counted(pairs, load, [side], total).withColumn("deal", F.expr(f"pmod(xxhash64({other}), ceil(n / {GROUP}))")).drop("n")
+    copies = texts.toDF(side, f"text_{side}").join(load, side).withColumn("deal", F.expr(f"explode(sequence(0L, ceil(n / {GROUP}) - 1))"))
+    return dealt.join(copies.drop("n"), [side, "deal"]).drop("deal")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
