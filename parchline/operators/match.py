@@ -205,7 +205,7 @@ def normalize_titles(values: DataFrame, col: str = "title") -> DataFrame:
     part = F.lit(None).cast("string")
     for role, words in reversed(TITLE_KEYWORDS.items()):
         test = None
-        for w in words.split(", "):
+        for w in words:
             test = F.col("rest").contains(w) if test is None else test | F.col("rest").contains(w)
         part = F.when(test, F.lit(role.title())).otherwise(part)
     v = v.withColumn("part", part)

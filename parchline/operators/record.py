@@ -138,7 +138,7 @@ def degree_name(c: Column) -> Column:
 def degree_rank(c: Column) -> Column:
     out = F.lit(-1)
     for k, rank in reversed(DEGREE_RANK.items()):
-        out = F.when(F.lower(F.regexp_replace(c, r"\.", "")).rlike(rf"\b{k}"), F.lit(int(rank))).otherwise(out)
+        out = F.when(F.lower(F.regexp_replace(c, r"\.", "")).rlike(rf"\b{k}"), F.lit(rank)).otherwise(out)
     return out
 
 

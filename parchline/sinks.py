@@ -50,10 +50,10 @@ def formatted(c: Column, kind: str) -> Column:
     return F.coalesce(F.when(c.isNull(), F.lit("")).otherwise(out), F.lit(""))
 
 
-def mapped(flat_rows: DataFrame, mapping: dict[str, str] = EXPORT_COLUMNS) -> DataFrame:
+def mapped(flat_rows: DataFrame, mapping: dict[str, tuple[str, int]] = EXPORT_COLUMNS) -> DataFrame:
     """Projection to export headers by a field-to-header mapping."""
     kinds = dict(flat_rows.dtypes)
-    return flat_rows.select(*[formatted(F.col(f), kinds[f]).alias(h.split(" | ")[0]) for f, h in mapping.items()])
+    return flat_rows.select(*[formatted(F.col(f), kinds[f]).alias(h) for f, (h, _) in mapping.items()])
 
 
 def exploded(records: DataFrame, part: str) -> DataFrame:
