@@ -35,8 +35,12 @@ def sorted_tokens(c: str) -> str:
 
 
 def possible(a: str, b: str, cutoff: float) -> str:
-    """SQL: the lengths allow the cutoff: at best the shorter text is all common."""
-    return f"200D * least(char_length({a}), char_length({b})) >= {cutoff} * (char_length({a}) + char_length({b}))"
+    """SQL: lengths and Levenshtein distance allow the cutoff.
+
+    At best the shorter text is all common; and the Indel distance, which decides, is never under the built-in Levenshtein distance.
+    """
+    total = f"(char_length({a}) + char_length({b}))"
+    return f"200D * least(char_length({a}), char_length({b})) >= {cutoff} * {total} AND 100D * levenshtein({a}, {b}) <= {100 - cutoff} * {total}"
 
 
 def best_match(query: str, choices: list[str], cutoff: float) -> Column:

@@ -126,7 +126,7 @@ def adaptive_text(blocks: DataFrame, tolerance: float = 15.0) -> DataFrame:
 def lines_from_words(words: DataFrame, boundary: float, jump: float = 10.0) -> DataFrame:
     """Words to lines: columns parted at ``boundary``; a new line where y jumps by more than ``jump``."""
     w = words.withColumn("side", (F.col("x0") >= boundary).cast("int"))
-    order = W.partitionBy("doc_id", "page_num", "side").orderBy(F.bround(F.col("y0") / 10), "x0", "block_seq")
+    order = W.partitionBy("doc_id", "page_num", "side").orderBy(F.bround(F.col("y0") / 10), "x0", "block_seq", "text")
     y = F.bround(F.col("y0") / 10) * 10
     w = w.withColumn("breaks", F.coalesce((y - F.lag(y).over(order) > jump).cast("int"), F.lit(0)))
     w = w.withColumn("line_no", F.sum("breaks").over(order)).withColumn("rank", F.row_number().over(order))

@@ -19,6 +19,7 @@ from ..dims import (
     STANDARD_TITLES,
     TITLE_KEYWORDS,
 )
+from ..functions.dates import let
 from ..functions.similarity import lcs, possible, sorted_tokens
 from ..functions.text import distinct_ignoring_case, title_case
 
@@ -95,13 +96,13 @@ def match_statistics(matches: DataFrame) -> DataFrame:
     )
 
 
-def quick_normalize(xs: Column, known: list[str] = SKILLS) -> Column:
-    """An array's skills by the exact, alias and key steps alone; unknown ones go; ordered distinct."""
+def quick_normalize(xs: Column, known: list[str] = SKILLS, keep_unknown: bool = False) -> Column:
+    """An array's skills by the exact, alias and key steps alone; unknown ones go unless ``keep_unknown``; ordered distinct."""
     loose = {}
     for s in known:
         loose.setdefault("".join(ch for ch in s if ch.isalnum() or ch in " _").strip(), s)
     names, alias, keys = _map({s: s for s in known}), _map(SKILL_ALIASES), _map(loose)
-    one = lambda x: F.coalesce(F.try_element_at(names, F.lower(F.trim(x))), F.try_element_at(alias, F.lower(F.trim(x))), F.try_element_at(keys, loose_key(x)))
+    one = lambda x: F.coalesce(F.try_element_at(names, F.lower(F.trim(x))), F.try_element_at(alias, F.lower(F.trim(x))), F.try_element_at(keys, loose_key(x)), *([F.trim(x)] if keep_unknown else []))
     return F.array_distinct(F.array_compact(F.transform(xs, one)))
 
 
@@ -146,18 +147,19 @@ def parse_skill_lines(lines: Column) -> Column:
 def mine_skills(text: Column, skills: list[str] = SKILLS) -> Column:
     """Taxonomy skills anywhere in a text, in taxonomy order.
 
-    The text becomes one blank-padded string of tokens [A-Za-z0-9+#./-], trailing dots off, so a skill is a plain substring between blanks;
-    no pattern is compiled for any skill, and one- or two-letter names need their own token.
+    The text becomes one blank-padded string of tokens [A-Za-z0-9+#./-], trailing dots off. Skills of one word are met by hashing the distinct
+    tokens, the others are plain substrings between blanks; no pattern is compiled for any skill, and one- or two-letter names need their own token.
     """
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9+#./&-]+", " "), r"\.(?= |$)", "")
-    padded = F.concat(F.lit(" "), flat, F.lit(" "))
-    found = F.transform(padded_array(padded), lambda p: F.filter(F.array(*[F.lit(s) for s in skills]), lambda s: F.contains(p, F.concat(F.lit(" "), s, F.lit(" ")))))
-    return F.coalesce(F.element_at(found, 1), F.array().cast("array<string>"))
+    single, several = [s for s in skills if " " not in s], [s for s in skills if " " in s]
 
+    def body(p: Column) -> Column:
+        known = F.array_intersect(F.array(*[F.lit(s) for s in single]), F.split(p, " "))
+        longer = F.filter(F.array(*[F.lit(s) for s in several]), lambda s: F.contains(p, F.concat(F.lit(" "), s, F.lit(" "))))
+        return let(F.concat(known, longer), lambda found: F.when(F.size(found) > 0, F.array_intersect(F.array(*[F.lit(s) for s in skills]), found)).otherwise(found))
 
-def padded_array(c: Column) -> Column:
-    """One-element array, so that a lambda's body computes its argument once."""
-    return F.array(c)
+    found = let(F.concat(F.lit(" "), flat, F.lit(" ")), body)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 # --- titles ---

@@ -104,7 +104,7 @@ def name_block(blocks: DataFrame) -> DataFrame:
     first = blocks.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("block_seq"))).where("rn <= 5")
     t = F.trim("text")
     words = F.size(F.split(t, r"\s+"))
-    fits = ~t.rlike(R.EMAIL) & ~t.rlike(r"[0-9]{3}") & keyword_section(section_key(t)).isNull() & words.between(1, 5)
+    fits = ~t.rlike(R.EMAIL) & ~t.rlike(R.LINKEDIN) & ~t.rlike(R.GITHUB) & ~t.rlike(R.WEBSITE) & ~t.rlike(r"[0-9]{3}") & keyword_section(section_key(t)).isNull() & words.between(1, 5)
     score = 0.6 * F.col("font_size") + 2 * (5 - words)
     return first.where(fits).groupBy("doc_id").agg(F.max_by(t, F.struct(score.alias("s"), -F.col("rn"))).alias("name"))
 

@@ -6,6 +6,7 @@ every key. Nothing overwrites a path that is being read.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -157,21 +158,103 @@ def normalized_tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see. Where the session names none, a local master gets one of its own; a cluster fails."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        found = tempfile.mkdtemp(prefix="parchline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/parchline/{name}-{uuid.uuid4().hex}"
+
+
+def stored_path(df: DataFrame, name: str) -> str:
+    """``df`` written to a new folder of the shared directory."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: heavy rows are made once, however many readers follow."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parchline-")
-    path = f"{shared.rstrip('/')}/parchline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored_path(df, name))
 
 
 def write_all(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Every table to its own folder, independently: one failure doesn't stop the others. Returns errors by table."""
+    """Every table to its own folder in place of what was there, independently: one failure doesn't stop the others. Returns errors by table."""
     errors = {}
     for name, df in tables.items():
         try:
-            df.write.mode("append").parquet(f"{root}/{name}")
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
         except Exception as error:  # noqa: BLE001
             errors[name] = str(error)
     return errors
+
+
+def list_page(resumes: DataFrame, order_by: str, number: int, size: int, tie: str) -> DataFrame:
+    """Page ``number`` (from 1), newest first, each row with the total and whether pages follow; the total comes from one row that is broadcast."""
+    whole = resumes.agg(F.count(F.lit(1)).alias("total"))
+    rows = page(resumes, order_by, (number - 1) * size, size, True, tie)
+    total = whole.first()["total"]
+    return rows.withColumns({"total": F.lit(total).cast("bigint"), "has_next": F.lit(number * size < total)})
+
+
+def by_email(candidates: DataFrame, email: str) -> DataFrame:
+    return candidates.where(F.lower(F.trim("email")) == email.strip().lower())
+
+
+def uploaded_between(rows: DataFrame, day: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows of the days from ``first`` to ``last``, both included; those whose day can't be read stay."""
+    d = F.try_to_timestamp(F.col(day).cast("string")).cast("date")
+    inside = F.lit(True)
+    if first:
+        inside = inside & (d >= F.lit(first).cast("date"))
+    if last:
+        inside = inside & (d <= F.lit(last).cast("date"))
+    return rows.where(d.isNull() | inside)
+
+
+def with_properties(resumes: DataFrame) -> DataFrame:
+    """Derived columns of a résumé row: state flags, size in KB, a name to show."""
+    return resumes.withColumns(
+        {
+            "is_processed": F.col("status") == "completed",
+            "is_failed": F.col("status") == "failed",
+            "size_kb": F.round(F.col("file_size") / 1024, 2),
+            "display_name": F.coalesce("original_filename", "stored_filename"),
+        }
+    )
+
+
+def load_results(rows: DataFrame, schema, ids: DataFrame | None = None, status: str = "completed") -> DataFrame:
+    """``rows`` with the record of their JSON ``data``: those of ``ids``, else those of a status; what isn't JSON is passed over."""
+    chosen = rows.join(ids, ids.columns[0], "left_semi") if ids is not None else rows.where(F.col("status") == status)
+    whole = chosen.where(F.try_parse_json("data").isNotNull())
+    return whole.withColumn("record", F.from_json("data", schema, {"mode": "PERMISSIVE"})).where("record IS NOT NULL").drop("data")
+
+
+class Log:
+    """Append-only log of stages: resume_id, stage, success, seconds, started_at."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def by_resume(self, resume_id) -> DataFrame:
+        return self.rows().where(F.col("resume_id") == resume_id).orderBy("started_at")
+
+    def failed(self, resume_id) -> DataFrame:
+        return self.by_resume(resume_id).where("NOT success")
+
+    def statistics(self) -> DataFrame:
+        return self.rows().groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failed"), F.round(F.avg("seconds"), 3).alias("avg_seconds"))

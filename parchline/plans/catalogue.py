@@ -19,6 +19,7 @@ from ..functions import regexes as R
 from ..functions import text as T
 from ..functions import validate as V
 from ..operators import layout, match, record, score, segment, store
+from ..sources import tables
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +66,7 @@ def _expressions(columns: str) -> list:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, sf_dir, name, spread=name == "documents")
 
 
 def _with(*names: str) -> str:
@@ -517,3 +518,6 @@ def records(spark, sf_dir):
     made = store.stored(record.extract(docs, AS_OF), "records")
     scored = score.completeness(score.confidence(made))
     return scored.select("doc_id", F.to_json("record").alias("record"), "confidence.overall", "confidence.level", F.col("completeness.score").alias("complete"))
+
+
+from . import resumes as _resumes  # noqa: E402, F401  (registers its queries)

@@ -112,7 +112,7 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-@udtf(returnType="table_idx int, row_idx int, cells map<string,string>")
+@udtf(returnType="table_idx int, row_idx int, headers array<string>, cells map<string,string>")
 class HtmlTables:
     """Rows of every table with a header and data: blank headers become col_i, short rows are padded."""
 
@@ -122,7 +122,7 @@ class HtmlTables:
         for k, rows in enumerate(r for r in parser.tables if len(r) >= 2):
             heads = [h or f"col_{i}" for i, h in enumerate(rows[0])]
             for i, row in enumerate(rows[1:]):
-                yield k, i, dict(zip(heads, row + [""] * (len(heads) - len(row))))
+                yield k, i, heads, dict(zip(heads, row + [""] * (len(heads) - len(row))))
 
 
 def html_tables(df: DataFrame, html: str = "html") -> DataFrame:
@@ -130,12 +130,12 @@ def html_tables(df: DataFrame, html: str = "html") -> DataFrame:
     spark = df.sparkSession
     spark.udtf.register("parchline_html_tables", HtmlTables)
     df.createOrReplaceTempView("parchline_html_input")
-    return spark.sql(f"SELECT t.*, h.table_idx, h.row_idx, h.cells FROM parchline_html_input t, LATERAL parchline_html_tables(t.`{html}`) h")
+    return spark.sql(f"SELECT t.*, h.table_idx, h.row_idx, h.headers, h.cells FROM parchline_html_input t, LATERAL parchline_html_tables(t.`{html}`) h")
 
 
 def table_text(df: DataFrame) -> DataFrame:
-    """Cells of a row as ``a | b``."""
-    return df.withColumn("line", F.array_join(F.map_values("cells"), " | "))
+    """Cells of a row, in the order of the headers, as ``a | b``."""
+    return df.withColumn("line", F.array_join(F.transform("headers", lambda h: F.col("cells")[h]), " | "))
 
 
 def pdf_blocks(df: DataFrame, mode: str = "blocks") -> DataFrame:

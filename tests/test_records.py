@@ -1,5 +1,7 @@
 """Record extraction, scoring, validation, enhancement, export and storage on one résumé."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def test_fields(records):
 
 
 def test_repairs_and_warnings(records):
-    out = enhance.validate_record(enhance.enhance(records), "2024-01-01").where("doc_id = 1").first()
+    out = enhance.validate_record(enhance.enhance(records, "2024-01-01"), "2024-01-01").where("doc_id = 1").first()
     assert out.record.certifications[1].url.startswith("https://www.pmi.org")
     assert out.warnings == [] and out.enhancement.urls_mapped == 2
 
@@ -116,10 +118,50 @@ def test_pdf_without_library(spark):
 
 
 def test_long_entries_are_whole(spark):
+    """Entries keep every line; headings begin entries only where a mark stands before them."""
     head, made = "Senior Developer | Acme | Berlin", [f"- built part {i}" for i in range(1100)]
-    rows = spark.createDataFrame([([head, "Jan 2018 - Mar 2021", *made, "prose of more than five words"],)], "lines array<string>")
-    job = rows.select(record.experience(F.col("lines"), "2024-01-01").alias("jobs")).first().jobs[0]
-    assert len(job.responsibilities) == 1100 and job.description == "prose of more than five words"
-    about = spark.createDataFrame([(["Parchment", *made],)], "lines array<string>")
-    project = about.select(record.projects(F.col("lines"), "2024-01-01").alias("p")).first().p[0]
-    assert project.description.endswith("built part 1099")
+    lines = [head, "Jan 2018 - Mar 2021", *made, "prose of more than five words", "Data Analyst | Firm 2 | Oslo", "2012 and then 2014"]
+    rows = [(1, "experience", i, t) for i, t in enumerate(lines)] + [(1, "projects", i, t) for i, t in enumerate(["Parchment", *made])]
+    cut = record.entry_rows(spark.createDataFrame(rows, "doc_id int, section string, line_no int, text string"))
+    jobs = [r.j for r in cut.where("section = 'experience'").orderBy("entry").select(record.job(F.col("lines"), "2024-01-01").alias("j")).collect()]
+    assert len(jobs[0].responsibilities) == 1100 and jobs[0].description == "prose of more than five words"
+    assert (jobs[1].company, jobs[1].start_date, jobs[1].end_date) == ("Firm 2", "2012", "2014")
+    found = cut.where("section = 'projects'").select(record.project(F.col("lines"), "2024-01-01").alias("p")).collect()
+    assert len(found) == 1 and found[0].p.description.endswith("built part 1099")
+
+
+def test_headings_begin_entries_as_a_fold_would(spark):
+    """The window's rule against the step-by-step one, over random lines."""
+    rng = random.Random(3)
+    kinds = {"h": "Data Analyst | Firm", "b": "- did things", "d": "Jan 2018 - Mar 2021", "p": "some other words"}
+    docs = [[rng.choice("hbdp") for _ in range(rng.randrange(1, 25))] for _ in range(200)]
+    rows = [(k, "experience", i, kinds[x]) for k, xs in enumerate(docs) for i, x in enumerate(xs)]
+    got = {}
+    for r in record.entry_rows(spark.createDataFrame(rows, "doc_id int, section string, line_no int, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.entry] = r.lines
+    for k, xs in enumerate(docs):
+        want = []
+        for x in xs:
+            if not want or (x == "h" and any(y in (kinds["b"], kinds["d"]) for y in want[-1])):
+                want.append([])
+            want[-1].append(kinds[x])
+        assert [got[k][e] for e in sorted(got[k])] == want
+
+
+def test_enhancement_recovers_jobs(spark):
+    text = "Ann Lee\nSenior Developer\nJan 2018 - Mar 2021\nother words"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    made = record.extract(docs, "2024-01-01").join(docs, "doc_id")
+    out = enhance.enhance(made, "2024-01-01").first()
+    assert [(j.job_title, j.start_date) for j in out.record.experience] == [("Senior Developer", "Jan 2018")] and out.enhancement.jobs_recovered == 1
+
+
+def test_similarity_bound_is_safe(spark):
+    """The Levenshtein bound never throws out a pair that reaches the cutoff."""
+    from parchline.functions.similarity import possible, ratio
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    out = pairs.selectExpr(f"{ratio('a', 'b')} r", f"{possible('a', 'b', 75)} p")
+    assert out.where("r >= 75 AND NOT p").count() == 0 and out.where("NOT p").count() > 0
