@@ -118,15 +118,15 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each prime base^i and base^-i for i < n."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        size = 1 << max(n, PIECE + 4096).bit_length()
+        size = max(n, PIECE + 4096)
         _POWERS.clear()
         for prime, base in zip(_PRIMES, _BASES):
             both = []
             for b in (base, pow(base, -1, prime)):
-                out = np.ones(size, dtype=np.uint64)
+                out = np.ones(size, dtype=np.uint32)
                 k = 1
                 while k < size:
-                    out[k : 2 * k] = out[:k] * np.uint64(pow(b, k, prime)) % np.uint64(prime)
+                    out[k : 2 * k] = out[: min(k, size - k)] * np.uint64(pow(b, k, prime)) % np.uint64(prime)
                     k *= 2
                 both.append(out)
             _POWERS.append((both[0], both[1]))

@@ -14,10 +14,11 @@ Scale.
   bounds the symmetric difference from below, throws out pairs inside the join.
 * Only texts of nodes in pairs are shuffled for verification, and a centre's text goes once to
   each GROUP of its pairs.
-* Buckets, neighbours and components that hold a thousandth of all rows are joined by broadcast of
+* Buckets and components that hold a thousandth of all rows are joined by broadcast of
   their one row, a thousand rows at most, so no task gets a hot one whole.
 * Components come from alternating large-star and small-star steps over tables
-  in the shared folder; nothing is collected.
+  in the shared folder; nothing is collected. Their rows are pairs of numbers; a node with very many
+  neighbours is left to the adaptive skew join.
 
 Defined results. Null or empty texts and texts without words have an empty set: zero
 shingles, a component of their own. Null ids never become a component id while the
@@ -148,12 +149,12 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     edges = stage.save(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), f"{name}-0")
     before, k = edges.select(mark.alias("m")).first()["m"], 0
     while before["n"]:
-        both, total = edges.union(edges.select("b", "a")).toDF("u", "v"), 2 * before["n"]
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_counted(both.where("v > u"), least, ["u"], total).selectExpr("v a", "m b").distinct()
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").selectExpr("v a", "m b").distinct()
         large = stage.save(large, f"{name}-large-{k}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_counted(large, least, ["a"], total).selectExpr("b a", "m b").union(least.select("a", "m")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").selectExpr("b a", "m b").union(least).where("a <> b").distinct()
         edges = stage.save(small, f"{name}-{k + 1}")
         stage.drop(f"{name}-{k}", f"{name}-large-{k}")
         after, k = edges.select(mark.alias("m")).first()["m"], k + 1

@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, to_bytes, with_id
 from .labelled import SAMPLE_CHARS, SAMPLE_ROWS, apart, calibrate, fitting_sample
 
-N_GRAMS = (5, 7)
+N_GRAMS = (3, 5)
 BITS = 20
 BUCKETS = 1 << BITS
 WINDOW = 2048
 #: Sums of windows are taken for this many bytes; shorter ones than that count for less.
 UNIT = 500
+#: Chosen, like N_GRAMS, by choose_toxicity.py inside the rows that may be fitted.
 #: Buckets seen in fewer fitted windows, or whose frequencies differ by fewer standard errors, have no weight.
 LEAST_WINDOWS, LEAST_Z = 3, 5.0
 PARTS, HELD_OUT = 3, 1
@@ -42,8 +43,8 @@ THRESHOLD = 0.7
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
-#: Odd factors whose products' high bits spread the n-grams, packed into 64-bit words, over the buckets.
-_FACTOR = {5: np.uint64(0x9E3779B97F4A7C15), 7: np.uint64(0xD6E8FEB86659FD93)}
+#: Odd factors whose products' high bits spread the n-grams of 3 to 8 bytes, packed into 64-bit words, over the buckets.
+_FACTOR = {k: np.uint64(x) for k, x in zip(range(3, 9), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15, 0x8EBC6AF09C88C6E3, 0xD6E8FEB86659FD93, 0x589965CC75374CC3))}
 #: Starts of n-grams hashed at once.
 PIECE = 64 * WINDOW
 
@@ -57,11 +58,12 @@ def grams(text: bytes, useful: np.ndarray | None = None) -> Iterator[tuple[np.nd
     for at in range(0, len(buf), PIECE):
         part = buf[at : at + PIECE + max(N_GRAMS) - 1]
         one = part.astype(np.uint64)
-        two = one[:-1] | one[1:] << np.uint64(8)
-        four = two[:-2] | two[2:] << np.uint64(16)
-        packed = {5: four[:-1] | one[4:] << np.uint64(32)} if len(part) >= 5 else {}
-        if len(part) >= 7:
-            packed[7] = packed[5][:-2] | two[5:] << np.uint64(40)
+        packed = {}
+        for k in N_GRAMS:
+            if len(part) >= k:
+                packed[k] = one[: len(one) - k + 1].copy()
+                for i in range(1, k):
+                    packed[k] |= one[i : len(one) - k + 1 + i] << np.uint64(8 * i)
         starts, buckets = [], []
         for k, word in packed.items():
             bucket = ((word[:PIECE] * _FACTOR[k]) >> np.uint64(64 - BITS)).view(np.int64)
