@@ -170,75 +170,108 @@ def language(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", L.detect(F.col("text")).alias("l")).select("doc_id", "l.language", "l.reliable")
 
 
-def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split(", ")))
-
-
-_DATES = {"January 2020": "2020-01-01", "Jan 2020": "2020-01-01", "Mar. 2020": "2020-03-01", "Sept 2019": "2019-09-01", "2020": "2020-01-01", "01/2020": "2020-01-01", "not a date": None, "": None, "Present": AS_OF, "13/04/2019": "2019-04-13", "2018-11-05": "2018-11-05", "March 5, 2017": "2017-03-05", "till date": AS_OF}
-
-
-def _expected(rows: list[tuple], names: str) -> str:
+def _case(index: str, values: list) -> str:
+    """SQL of both dialects: the value at an index from 0."""
     lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}e0" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
+    return "(CASE {} END)".format(" ".join(f"WHEN {index} = {i} THEN {lit(v)}" for i, v in enumerate(values)))
 
 
-@query(_expected(list(_DATES.items()), "s, parsed"))
+@query(
+    """SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 3 THEN CAST(o_orderdate AS DATE) WHEN 4 THEN CAST(o_orderdate AS DATE) WHEN 5 THEN CAST(date_trunc('year', o_orderdate) AS DATE)
+    ELSE CAST(date_trunc('month', o_orderdate) AS DATE) END AS VARCHAR) AS parsed FROM orders"""
+)
 def date_points(spark, sf_dir):
-    return _values(spark, [(k,) for k in _DATES], "s").select("s", D.parse_date(F.col("s"), AS_OF).cast("string").alias("parsed"))
-
+    """Every order's date written in one of six ways and read again."""
+    ways = ["MMM yyyy", "MMMM yyyy", "MM/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "yyyy"]
+    s = F.coalesce(*[F.when(F.col("o_orderkey") % 6 == i, F.date_format("o_orderdate", w)) for i, w in enumerate(ways)])
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.parse_date(s, AS_OF).cast("string").alias("parsed"))
 
-_RANGES = [("Jan 2018 - Mar 2021", "Jan 2018", "Mar 2021", 3.2, False), ("Jan 2020 - Present", "Jan 2020", "Present", 4.0, True), ("Jan 2020 - Jan 2022", "Jan 2020", "Jan 2022", 2.0, False), ("2018 - 2021", "2018", "2021", 3.0, False), ("Feb 2019 – now", "Feb 2019", "Present", 4.9, True)]
 
-
-@query(_expected(_RANGES, "s, start_date, end_date, duration_years, is_current"))
+@query(
+    f"""WITH r AS (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_trunc('month', o_orderdate) + to_months(CAST(o_orderkey % 50 AS INT)) AS DATE) AS b FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN strftime(a, '%Y') ELSE strftime(a, '%b %Y') END AS start_date, CASE o_orderkey % 3 WHEN 0 THEN strftime(b, '%b %Y') WHEN 1 THEN strftime(b, '%Y') ELSE 'Present' END AS end_date,
+      CASE o_orderkey % 3 WHEN 0 THEN round((o_orderkey % 50) / 12.0e0, 1) WHEN 1 THEN CAST(year(b) - year(a) AS DOUBLE) ELSE round(date_diff('month', a, DATE '{AS_OF}') / 12.0e0, 1) END AS duration_years, o_orderkey % 3 = 2 AS is_current FROM r"""
+)
 def date_ranges(spark, sf_dir):
-    span = D.parse_range(F.col("s"), AS_OF)
-    return _values(spark, [(r[0],) for r in _RANGES], "s").select("s", *[span[k].alias(k) for k in ("start_date", "end_date", "duration_years", "is_current")])
-
+    """Every order as a range of months, of years, or up to now, inside a sentence."""
+    end = F.expr("add_months(o_orderdate, cast(o_orderkey % 50 AS int))")
+    month, year = lambda c: F.date_format(c, "MMM yyyy"), lambda c: F.date_format(c, "yyyy")
+    kind = F.col("o_orderkey") % 3
+    s = F.when(kind == 0, F.concat(month("o_orderdate"), F.lit(" - "), month(end))).when(kind == 1, F.concat(year("o_orderdate"), F.lit(" – "), year(end))).otherwise(F.concat(month("o_orderdate"), F.lit(" to now")))
+    span = D.parse_range(F.concat(F.lit("Firm, "), s, F.lit(" (full time)")), AS_OF)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", span.alias("p")).select("o_orderkey", *[F.col(f"p.{k}").alias(k) for k in ("start_date", "end_date", "duration_years", "is_current")])
 
-_CHECKS = [("email", "A.B@mail.org", True, "ok"), ("email", "test@mail.org", False, "placeholder_email"), ("email", "nobody", False, "invalid_format"), ("phone", "+1 (555) 234-5678", True, "ok"), ("phone", "12345", False, "too_short"), ("phone", "1111111111", False, "repeating_digits"), ("url", "www.site.org/x", True, "ok"), ("url", "site.org", False, "missing_scheme"), ("name", "Ann Lee", True, "ok"), ("name", "R2D2 Unit", False, "contains_digits"), ("gpa", "3.8/4.0", True, "ok"), ("gpa", "4.5/4.0", False, "exceeds_scale"), ("gpa", "120", False, "too_high"), ("skill", "c", False, "too_short"), ("date", "Mar 1940", False, "too_old"), ("date", "2035", False, "too_far_in_future"), ("linkedin", "linkedin.com/in/annlee", True, "ok"), ("linkedin", "linkedin.com/in/a", False, "username_too_short")]
 
-
-@query(_expected(_CHECKS, "kind, given, valid, reason"))
+@query(
+    f"""SELECT c_custkey, {_case('c_custkey % 4', ['ok', 'placeholder_email', 'invalid_format', 'empty'])} AS email, {_case('c_custkey % 4', ['ok', 'too_short', 'repeating_digits', 'too_long'])} AS phone,
+    {_case('c_custkey % 3', ['ok', 'exceeds_scale', 'not_numeric'])} AS gpa, {_case('c_custkey % 3', ['ok', 'too_short', 'contains_digits'])} AS name, {_case('c_custkey % 3', ['ok', 'missing_scheme', 'no_tld'])} AS url,
+    {_case('c_custkey % 3', ['ok', 'too_old', 'too_far_in_future'])} AS date, {_case('c_custkey % 2', ['ok', 'username_too_short'])} AS linkedin, {_case('c_custkey % 2', ['ok', 'too_short'])} AS skill FROM customer"""
+)
 def validators(spark, sf_dir):
-    c = F.col("given")
-    tests = {"email": V.email(c), "phone": V.phone(c), "url": V.url(c), "name": V.name(c), "gpa": V.gpa(c), "skill": V.skill(c), "date": V.date(c, AS_OF), "linkedin": V.linkedin(c)}
-    verdict = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in tests.items()])
-    return _values(spark, [r[:2] for r in _CHECKS], "kind, given").select("kind", "given", verdict["valid"].alias("valid"), verdict["reason"].alias("reason"))
-
-
-_HYPHENS = [("compre-\nhensive x\na-\nb-\nc", "comprehensive x\nab-\nc"), ("well-\nKnown", "well-\nKnown"), ("plain\ntext", "plain\ntext")]
-
-
-@query(_expected(_HYPHENS, "given, joined"))
+    """Contact values of every customer, good and bad by the key."""
+    given = _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "CASE c_custkey % 4 WHEN 0 THEN concat('User', c_custkey, '@Mail.org') WHEN 1 THEN 'test@mail.org' WHEN 2 THEN concat('user', c_custkey) END email",
+        "CASE c_custkey % 4 WHEN 0 THEN concat('+1 505 ', lpad(c_custkey, 7, '0')) WHEN 1 THEN '123' WHEN 2 THEN '1111111111' ELSE '12345678901234567' END phone",
+        "CASE c_custkey % 3 WHEN 0 THEN concat('3.', c_custkey % 10, '/4.0') WHEN 1 THEN '4.5/4.0' ELSE 'abc' END gpa",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'A' ELSE concat('R', c_custkey) END name",
+        "CASE c_custkey % 3 WHEN 0 THEN concat('www.site.org/', c_custkey) WHEN 1 THEN 'site.org' ELSE 'http://host/x' END url",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Mar 2010' WHEN 1 THEN 'Mar 1940' ELSE '2035' END date",
+        "CASE c_custkey % 2 WHEN 0 THEN concat('linkedin.com/in/user', c_custkey) ELSE 'linkedin.com/in/a' END linkedin",
+        "CASE c_custkey % 2 WHEN 0 THEN 'sql' ELSE 'c' END skill",
+    )
+    tests = {"email": V.email, "phone": V.phone, "gpa": V.gpa, "name": V.name, "url": V.url, "date": lambda c: V.date(c, AS_OF), "linkedin": V.linkedin, "skill": V.skill}
+    return given.select("c_custkey", *[f(F.col(k))["reason"].alias(k) for k, f in tests.items()])
+
+
+@query("SELECT c_custkey, concat('comprehensive ', c_custkey, chr(10), 'well-', chr(10), 'Known', chr(10), 'ab-', chr(10), 'c') AS joined FROM customer")
 def dehyphenated(spark, sf_dir):
-    return _values(spark, [(g,) for g, _ in _HYPHENS], "given").select("given", T.dehyphenate(F.col("given")).alias("joined"))
+    given = F.expr("concat('compre-\nhensive ', c_custkey, '\nwell-\nKnown\na-\nb-\nc')")
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.dehyphenate(given).alias("joined"))
 
 
-_TITLES = [("Senior Software Engineer", "Senior Software Engineer", "Senior", 1.0, "senior"), ("sre", "Site Reliability Engineer", None, 0.95, "mid"), ("Coordinator", "Coordinator", None, 0.5, "mid"), ("Jr. Data Analyst", "Junior Data Analyst", "Junior", 1.0, "junior"), ("VP of Potatoes", "VP Of Potatoes", "VP", 0.5, "executive")]
+_ROLES = ["Software Engineer", "Data Scientist", "DevOps Engineer", "Business Analyst", "UX Designer", "Cloud Architect", "Scrum Master"]
+#: Written and normal form of a rank before a title, and its career level.
+_RANKS = [("", "", "mid"), ("Senior ", "Senior ", "senior"), ("Jr. ", "Junior ", "junior"), ("Principal ", "Principal ", "lead"), ("VP ", "VP ", "executive")]
+_ROLE, _RANK = "p_partkey % 7", "CAST(floor(p_partkey / 7) AS BIGINT) % 5"
 
 
-@query(_expected(_TITLES, "original, normalized, seniority, confidence, career_level"))
+@query(f"SELECT concat({_case(_RANK, [r[1] for r in _RANKS])}, {_case(_ROLE, _ROLES)}) AS normalized, {_case(_RANK, [r[2] for r in _RANKS])} AS career_level, 1e0 AS confidence, count(*) AS n FROM part GROUP BY 1, 2")
 def titles(spark, sf_dir):
-    made = match.normalize_titles(_values(spark, [(t[0],) for t in _TITLES], "title"))
-    return made.select("original", "normalized", "seniority", "confidence", "career_level")
+    """A title for each part, normalised once and joined back."""
+    given = _table(spark, sf_dir, "part").selectExpr(f"concat({_case(_RANK, [r[0] for r in _RANKS])}, {_case(_ROLE, _ROLES)}) original")
+    made = given.join(match.normalize_titles(given, "original"), "original")
+    return made.groupBy("normalized", "career_level", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SKILLS = [("Python", "python", 1.0, "exact"), ("k8s", "kubernetes", 0.95, "alias"), ("nodejs", "node.js", 0.95, "alias"), ("scikitlearn", "scikit-learn", 0.92, "normalized"), ("pyton", "python", 0.909, "fuzzy"), ("learning machine", "machine learning", 1.0, "fuzzy"), ("advanced docker swarm ops", "docker", 0.7, "substring"), ("zzz", "zzz", 0.5, "unmatched")]
+_SKILL_ROWS = f"SELECT {_case('p_partkey % 8', [x[1] for x in _SKILLS])} AS matched, {_case('p_partkey % 8', [x[2] for x in _SKILLS])} AS score, {_case('p_partkey % 8', [x[3] for x in _SKILLS])} AS method FROM part"
 
 
-@query(_expected(_SKILLS, "original, matched, score, method"))
+def _matches(spark, sf_dir) -> DataFrame:
+    given = _table(spark, sf_dir, "part").selectExpr(f"{_case('p_partkey % 8', [x[0] for x in _SKILLS])} original")
+    return given.join(match.match_skills(given, "original"), "original")
+
+
+@query(f"SELECT matched, score, method, count(*) AS n FROM ({_SKILL_ROWS}) GROUP BY 1, 2, 3")
 def skill_ladder(spark, sf_dir):
-    return match.match_skills(_values(spark, [(s[0],) for s in _SKILLS], "skill"))
+    """A skill for each part: look-ups, similarity and parts of names."""
+    return _matches(spark, sf_dir).groupBy("matched", "score", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT count(*) AS total, round(avg(score), 3) AS average, count(*) FILTER (score >= 0.85) AS high_confidence, count(*) FILTER (score < 0.6) AS low_confidence, count(*) FILTER (method = 'fuzzy') AS fuzzy FROM ({_SKILL_ROWS})")
+def method_histogram(spark, sf_dir):
+    return match.match_statistics(_matches(spark, sf_dir)).select("total", "average", "high_confidence", "low_confidence", F.col("by_method")["fuzzy"].alias("fuzzy"))
 
 
 _HEADERS = [("Work Experience", 12.0, True, "experience"), ("Education", 14.0, False, "education"), ("SKILLS 2024", 11.0, False, "skills"), ("Jan 2020 - Present", 14.0, True, None), ("x" * 90, 14.0, True, None), ("Certificates:", 11.0, False, "certifications")]
 
 
-@query(_expected([(h[0], h[3]) for h in _HEADERS], "text, section"))
+@query(f"SELECT p_partkey, {_case('p_partkey % 6', [h[3] for h in _HEADERS])} AS section FROM part")
 def header_decisions(spark, sf_dir):
-    rows = spark.createDataFrame(_HEADERS, "text string, font_size double, is_bold boolean, wanted string")
-    return rows.select("text", segment.header_section(F.col("text"), F.col("font_size"), F.col("is_bold"), F.lit(False)).alias("section"))
+    """A block for each part, a header of a section or none."""
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{_case('p_partkey % 6', [h[i] for h in _HEADERS])} {k}" for i, k in enumerate(("text", "font_size", "is_bold"))])
+    return rows.select("p_partkey", segment.header_section(F.col("text"), F.col("font_size"), F.col("is_bold"), F.lit(False)).alias("section"))
 
 
 # --- relational tier ---
@@ -307,9 +340,9 @@ def upserted_candidates(spark, sf_dir):
     return store.upsert(old, new, "candidate_id", "version")
 
 
-@query("SELECT user_id AS resume_id, max_by(event_type, event_id) AS status, CAST(count(*) FILTER (event_type = 'failed') AS BIGINT) AS retry_count FROM events GROUP BY 1")
+@query("SELECT user_id AS resume_id, max_by(CASE event_type WHEN 'error' THEN 'failed' ELSE event_type END, event_id) AS status, count(*) FILTER (event_type = 'error') AS retry_count FROM events GROUP BY 1")
 def latest_states(spark, sf_dir):
-    log = _table(spark, sf_dir, "events").selectExpr("user_id resume_id", "event_type status", "event_id ts")
+    log = _table(spark, sf_dir, "events").selectExpr("user_id resume_id", "CASE event_type WHEN 'error' THEN 'failed' ELSE event_type END status", "event_id ts")
     return store.current_status(log)
 
 
@@ -334,11 +367,6 @@ def skills_matrix(spark, sf_dir):
     return sinks.skills_matrix(derived(spark, sf_dir, "skills"), columns=["ring", "bolt", "gear"])
 
 
-@query(_with("skills") + " SELECT skill AS method, count(*) AS n FROM skills_syn GROUP BY skill")
-def method_histogram(spark, sf_dir):
-    return derived(spark, sf_dir, "skills").groupBy(F.col("skill").alias("method")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(_with("resumes") + " SELECT CAST(date_trunc('month', uploaded_at) AS DATE) AS day, status, count(*) AS n FROM resumes_syn WHERE CAST(uploaded_at AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY GROUPING SETS ((1, 2), (1))")
 def uploads_between(spark, sf_dir):
     rows = derived(spark, sf_dir, "resumes").where("uploaded_at >= timestamp '1995-01-01' AND uploaded_at < timestamp '1997-01-01'")
@@ -411,13 +439,13 @@ def activity_sessions(spark, sf_dir):
     return ingest.sessions(_table(spark, sf_dir, "events"), "ts", "user_id")
 
 
-@query("SELECT count(DISTINCT event_id) AS n, CAST(sum(value * 100)::BIGINT / 100.0 AS DOUBLE) IS NOT NULL AS summed FROM events")
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def drained_stream(spark, sf_dir):
-    """A file stream drained through deduplication; the batch that comes out equals the table."""
+    """A file stream drained through deduplication; what comes out has the table's rows, once, with their values."""
     from ..sources import streams
 
     rows = streams.drain_table(spark, sf_dir, "events.parquet", "event_id")
-    return rows.agg(F.countDistinct("event_id").alias("n"), F.sum("value").isNotNull().alias("summed"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"))
 
 
 # --- layout ---
@@ -496,14 +524,16 @@ def read_through(spark, sf_dir):
 
 
 @query(
-    _with("blocks")
-    + """, f AS (SELECT doc_id, count(*) AS page_count, sum(CASE WHEN block_seq % 3 = 0 THEN 1 ELSE 0 END) AS s, round(avg(CASE WHEN block_seq % 3 = 0 THEN 10 ELSE 500 END), 1) AS c FROM blocks_syn GROUP BY 1)
-    SELECT doc_id, page_count, CASE WHEN s = 0 THEN 'digital' WHEN s = page_count THEN 'scanned' ELSE 'mixed' END AS pdf_type, c AS avg_chars FROM f"""
+    """WITH p AS (SELECT doc_id, k, substr(text, k * 2000 + 1, 2000) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) // 2000 + 1)) AS k FROM documents WHERE text IS NOT NULL)),
+    f AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (length(t) < 50 AND k % 2 = 1) AS s, round(avg(length(t)), 1) AS c, bool_or(length(t) - length(replace(t, 'e', '')) >= 100) AS has_tables FROM p GROUP BY 1)
+    SELECT doc_id, page_count, CASE WHEN s = 0 THEN 'digital' WHEN s = page_count THEN 'scanned' ELSE 'mixed' END AS pdf_type, c AS avg_chars, has_tables FROM f"""
 )
 def pdf_types(spark, sf_dir):
-    scanned = F.col("block_seq") % 3 == 0
-    pages = derived(spark, sf_dir, "blocks").select("doc_id", F.when(scanned, 10).otherwise(500).alias("text_chars"), F.when(scanned, 0.9).otherwise(0.0).alias("image_share"), F.lit(0).alias("drawings"))
-    return layout.pdf_type(pages).select("doc_id", "page_count", "pdf_type", "avg_chars")
+    """Pages of 2,000 characters of every document: their text counts, odd ones are full of images, letters stand for drawings."""
+    pages = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.expr("sequence(0, char_length(text) DIV 2000)")).alias("k"))
+    pages = pages.selectExpr("doc_id", "k", "substring(text, cast(k * 2000 + 1 AS int), 2000) t")
+    facts = pages.selectExpr("doc_id", "char_length(t) text_chars", "CASE WHEN k % 2 = 1 THEN 0.9D ELSE 0D END image_share", "(char_length(t) - char_length(replace(t, 'e', ''))) DIV 10 drawings")
+    return layout.pdf_type(facts).select("doc_id", "page_count", "pdf_type", "avg_chars", "has_tables")
 
 
 # --- records: no SQL says these ---

@@ -50,3 +50,10 @@ def test_character_maps_covers_all_texts(spark, tmp_path):
     spark.createDataFrame(list(given.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n, r.h) for r in QUERIES["character_maps"](spark, str(tmp_path)).collect()}
     assert got == {k: (None, None) if v is None else (len(v), hashlib.md5(v.encode()).hexdigest()) for k, v in want.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_language_agrees_with_the_tables(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang")
+    found = QUERIES["language"](spark, DIR).where("reliable").join(docs, "doc_id")
+    assert found.count() > 100 and found.where("language = lang").count() > 0.95 * found.count()
