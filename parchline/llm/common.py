@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import tables
+
 #: Rows of one Arrow batch sent to Python; long texts also split by maxBytesPerBatch.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
@@ -22,7 +24,7 @@ PIECE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, sf_dir, name, spread=name in ("documents", "pages", "conversations"))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
