@@ -37,12 +37,12 @@ from .common import small_batches, with_id
 #: Steps of one recursive query.
 STEPS = 24
 #: Bytes of words, and tokens, in one query; words remembered by a worker.
-QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 20, 1 << 19, 400_000
+QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 18, 1 << 18, 200_000
 
 #: Bytes from which a word counts as long; bytes of long words in one query, and of a walk's beginnings.
-LONG, LONG_BYTES = 48, 1 << 17
+LONG, LONG_BYTES = 48, 1 << 15
 #: Memory of a worker's database, and bytes of a single long word for which it may have a megabyte more.
-MEMORY_MB, WORD_BYTES_A_MB = 384, 800
+MEMORY_MB, WORD_BYTES_A_MB = 192, 600
 
 #: One pair of each word contracts in a step; positions stay 0, 1, 2 ... within a word.
 _SHORT = f"""

@@ -45,7 +45,7 @@ POSITIONS = 1 << 21
 PERCENT = 75
 
 #: Bits of the filter for texts that are needed again; pairs of a node that share one copy of its text.
-FILTER_BITS, GROUP = 1 << 26, 64
+FILTER_BITS, GROUP = 1 << 24, 64
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -214,7 +214,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.first("n").alias("n"),
         F.first("bands").alias("bands"),
         F.first("parity").alias("parity"),
-        F.count(F.lit(1)).alias("copies"),
     )
     nodes = stage.save(nodes.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
 
@@ -258,10 +257,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stage.save(members, "members")
     ids = members.groupBy("root").agg(F.min("least_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
     grouped = join_counted(members, ids, ["root"], members.count()).selectExpr("node nid", "group_id")
-    named = nodes.selectExpr("nid", "digest", "copies", "rep.doc_id least_id").join(grouped, "nid", "left")
-    named = stage.save(named.selectExpr("digest", "coalesce(group_id, least_id) component_id", "copies n"), "named")
+    named = nodes.selectExpr("nid", "digest", "rep.doc_id least_id").join(grouped, "nid", "left")
+    named = stage.save(named.selectExpr("digest", "coalesce(group_id, least_id) component_id"), "named")
     stage.drop("ends", "met", "pairs", "pairs-needed", "links", "placed", "mixed", "more", "more-needed", "further", "members", "nodes")
     rows = described.selectExpr("doc_id", "n n_shingles", "digest")
-    full = join_counted(rows.where("n_shingles > 0"), named, ["digest"], rows.count()).select("doc_id", "n_shingles", "component_id")
+    full = rows.where("n_shingles > 0").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id component_id")
     return full.unionByName(empty).selectExpr("*", "doc_id <=> component_id kept")

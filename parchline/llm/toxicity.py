@@ -128,7 +128,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 20, penalty: float
     for i in kept:
         window, bag, value = counts(texts[i], useful)
         cuts = np.searchsorted(window, np.arange(1, windows(texts[i])))
-        given += [(b, ratio[b] * v, y[i]) for b, v in zip(np.split(bag, cuts), np.split(value, cuts))]
+        pairs = zip(np.split(bag.astype(np.int32), cuts), np.split((ratio[bag] * value).astype(np.float32), cuts))
+        given += [(b, x, y[i]) for b, x in pairs]
     toxic = sum(k for _, _, k in given)
     balance = [len(given) / (2 * (len(given) - toxic)), len(given) / (2 * toxic)]
     weight, bias = np.ones(BUCKETS), 0.0
