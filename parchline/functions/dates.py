@@ -84,6 +84,12 @@ def normalize_date(c: Column, as_of: str) -> Column:
     return let(F.struct(c.alias("c"), parse_date(c, as_of).alias("d")), lambda p: _named(p["c"], p["d"]))
 
 
+def first_date(c: Column) -> Column:
+    """The first month with a year, else the first bare year, else null."""
+    found = lambda p: F.nullif(F.regexp_extract(c, p, 0), F.lit(""))
+    return F.coalesce(found(R.MONTH_YEAR), found(R.YEAR))
+
+
 def all_dates(c: Column) -> Column:
     """Month-year and bare-year mentions with their positions, in order of position."""
     months = F.transform(F.regexp_extract_all(c, F.lit(R.MONTH_YEAR), F.lit(0)), lambda m: F.struct(F.instr(c, m).alias("at"), m.alias("raw"), F.lit("month_year").alias("kind")))

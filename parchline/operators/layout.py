@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
+from ..functions.text import normalize_whitespace
+
 
 def column_tags(blocks: DataFrame, width: float) -> DataFrame:
     """left / right / full by the left edge, and the header flag of a block."""
@@ -82,7 +84,7 @@ def place(blocks: DataFrame, layout: DataFrame, width: float, height: float) ->
         .when((F.col("layout_type") == "two_column") & ~F.col("any_full"), (F.col("x0") >= F.col("column_boundary")).cast("int"))
         .otherwise(0)
     )
-    order = W.partitionBy("doc_id").orderBy("page_num", group, "y0", "x0", "block_seq")
+    order = W.partitionBy("doc_id").orderBy("page_num", group, "y0", "x0", "block_seq", "text")
     return b.withColumn("reading_rank", F.row_number().over(order)).drop("any_full")
 
 
@@ -91,13 +93,43 @@ def region_map(placed: DataFrame) -> DataFrame:
 
 
 def column_segments(placed: DataFrame) -> DataFrame:
-    """Two-column reconstruction: full blocks above, left, right, full blocks below; wide means over .85 of the boundary."""
+    """Two-column reconstruction: full blocks above, left, right, full blocks below; wide means over .85 of the boundary.
+
+    A full block is above if it begins higher than every other block of its page. Blocks of one height keep the order of block_seq.
+    """
     full = (F.col("x1") - F.col("x0")) > 0.85 * F.col("column_boundary")
     p = placed.withColumn("wide", full)
     first = F.min(F.when(~F.col("wide"), F.col("y0"))).over(W.partitionBy("doc_id", "page_num"))
-    segment = F.when(F.col("wide") & (F.coalesce(first, F.lit(0.0)) >= F.col("y0")), 0).when(F.col("wide"), 3).when(F.col("x0") < F.col("column_boundary"), 1).otherwise(2)
+    segment = F.when(F.col("wide") & (F.coalesce(first, F.lit(0.0)) > F.col("y0")), 0).when(F.col("wide"), 3).when(F.col("x0") < F.col("column_boundary"), 1).otherwise(2)
     p = p.withColumn("segment", segment)
-    return p.withColumn("segment_rank", F.row_number().over(W.partitionBy("doc_id").orderBy("page_num", "segment", "y0", "x0", "block_seq")))
+    return p.withColumn("segment_rank", F.row_number().over(W.partitionBy("doc_id").orderBy("page_num", "segment", "y0", "block_seq", "text")))
+
+
+def reading_text(placed: DataFrame) -> DataFrame:
+    """doc_id, text: blocks with text in reading order, a line each; a document of blank blocks alone has an empty text."""
+    docs = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("reading_rank", "text")))).alias("b"))
+    return docs.select("doc_id", F.expr("array_join(transform(b, x -> x.text), '\\n')").alias("text"))
+
+
+def reconstructed_text(placed: DataFrame, width: float) -> DataFrame:
+    """doc_id, text by the document's layout: one column from top to bottom; two columns as ``column_segments`` has them;
+    beside a sidebar the wider side first.
+
+    Blocks are lines; an empty line parts pages, segments and the full blocks of two columns. Null and empty texts are left out.
+    Any other layout (null too) counts as one column.
+    """
+    cut = column_segments(placed.where("text <> ''"))
+    two, bar = F.col("layout_type") == "two_column", F.col("layout_type") == "sidebar"
+    left = F.col("x0") < F.col("column_boundary")
+    first = F.when(F.col("column_boundary") < width - F.col("column_boundary"), ~left).otherwise(left)
+    cut = cut.withColumn("part", F.when(two, F.col("segment")).when(bar, F.when(first, 0).otherwise(1)).otherwise(0))
+    order = W.partitionBy("doc_id").orderBy("page_num", "part", "y0", F.when(two | bar, 0.0).otherwise(F.col("x0")), "block_seq", "text")
+    place = F.struct("page_num", "part")
+    apart = (place != F.lag(place).over(order)) | F.coalesce(two & F.col("wide"), F.lit(False))
+    rank = F.row_number().over(order)
+    cut = cut.withColumn("piece", F.when(rank == 1, "").when(apart, "\n\n").otherwise("\n")).withColumn("rank", rank)
+    docs = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "piece", "text"))).alias("b"))
+    return docs.select("doc_id", normalize_whitespace(F.expr("array_join(transform(b, x -> concat(x.piece, x.text)), '')")).alias("text"))
 
 
 def anchored_rows(blocks: DataFrame, tolerance: float) -> DataFrame:

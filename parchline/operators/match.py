@@ -6,7 +6,8 @@ sees distinct values only that every exact step missed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import (
@@ -82,6 +83,39 @@ def match_skills(values: DataFrame, col: str = "skill", threshold: float = 80, s
     return v.select("original", F.coalesce(*[f for _, f, _ in steps], F.col("low")).alias("matched"), score.alias("score"), method.alias("method"))
 
 
+def match_and_normalize(rows: DataFrame, key: str, order: str, col: str = "skill", least: float = 0.60) -> DataFrame:
+    """``key``, skills: each key's matched names in order, once each; matches under ``least`` (so all unmatched ones) go.
+
+    Distinct values are matched once; names repeated within a key are reduced before its rows meet. A key without a match has an empty list.
+    """
+    names = match_skills(rows, col).where(F.col("score") >= least).select(F.col("original").alias(col), "matched")
+    placed = rows.select(key, order, col).join(names, col, "left").groupBy(key, "matched").agg(F.min(order).alias("at"))
+    kept = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("matched").isNotNull(), F.struct("at", "matched")))).alias("m"))
+    return kept.select(key, F.transform("m", lambda x: x["matched"]).alias("skills"))
+
+
+def taxonomy(spark: SparkSession, path: str | None = None, builtin: list[str] = SKILLS) -> DataFrame:
+    """skill: the built-in names and those of JSON files (a list, or an object whose ``skills`` is one), lower-cased, trimmed, once each.
+
+    Members that aren't strings and files that aren't JSON are passed over; a missing path gives the built-in names alone.
+    """
+    own = spark.createDataFrame([(s,) for s in builtin], "skill string")
+    if path is None:
+        return own
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return own
+    whole = files.select(F.try_parse_json("value").alias("v"))
+    listed = whole.select(F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.try_variant_get("v", "$.skills", "variant")).alias("v"))
+    listed = listed.where(F.schema_of_variant("v").startswith("ARRAY"))
+    each = listed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(F.schema_of_variant("value") == "STRING")
+    names = each.select(F.trim(F.lower(F.try_variant_get("value", "$", "string"))).alias("skill"))
+    return own.unionByName(names.where("skill <> ''")).distinct()
+
+
 def match_statistics(matches: DataFrame) -> DataFrame:
     """total, average score, counts by method, how many are sure (>= .85) and unsure (< .60)."""
     by = matches.groupBy("method").agg(

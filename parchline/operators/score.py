@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .record import contact_confidence
+
 # Weights of sections, fields and checks; levels.
 SECTION_WEIGHTS = {"contact": 0.28, "experience": 0.25, "education": 0.18, "skills": 0.15, "summary": 0.06, "certifications": 0.04, "projects": 0.04}
 CONTACT_WEIGHTS = {"full_name": 0.30, "email": 0.25, "phone": 0.20, "linkedin": 0.10, "city": 0.08, "country": 0.07}
@@ -12,6 +14,7 @@ EXPERIENCE_WEIGHTS = {"job_title": 0.35, "company": 0.30, "start_date": 0.15, "e
 EDUCATION_WEIGHTS = {"degree": 0.35, "institution": 0.35, "graduation_date": 0.20, "field_of_study": 0.10}
 CERTIFICATION_WEIGHTS = {"name": 0.50, "issuer": 0.30, "date": 0.20}
 COMPLETENESS = {"name": 0.20, "email": 0.15, "experience": 0.20, "education": 0.15, "skills": 0.15, "phone": 0.05, "summary": 0.05, "certifications": 0.02, "linkedin": 0.02, "location": 0.01}
+EARLY_WEIGHTS = {"contact": 0.30, "experience": 0.25, "education": 0.20, "skills": 0.15, "summary": 0.05, "certifications": 0.05}
 HIGH, MEDIUM = 0.85, 0.60
 
 
@@ -94,3 +97,26 @@ def completeness(df: DataFrame, record: str = "record") -> DataFrame:
         "completeness",
         F.expr(f"named_struct('score', round({score}, 3), 'level', {level(f'round({score}, 6)')}, 'missing', {pick(False)}, 'present', {pick(True)})"),
     )
+
+
+def at_extraction(df: DataFrame, record: str = "record") -> DataFrame:
+    """``early``: scores by what extraction filled, before any validation; null sections count as empty."""
+    r = record
+    share = lambda part, test: f"CASE WHEN {some(f'{r}.{part}')} THEN round(size(filter({r}.{part}, x -> {test})) / size({r}.{part}), 2) ELSE 0D END"
+    parts = {
+        "summary": f"CASE WHEN {has(f'{r}.summary')} THEN 0.8D ELSE 0D END",
+        "experience": share("experience", f"{has('x.job_title')} AND {has('x.company')}"),
+        "education": share("education", f"{has('x.degree')} OR {has('x.institution')}"),
+        "skills": f"CASE WHEN {some(f'{r}.skills.all')} THEN least(1D, size({r}.skills.all) / 10D) ELSE 0D END",
+        "certifications": f"CASE WHEN {some(f'{r}.certifications')} THEN 0.8D ELSE 0D END",
+    }
+    contact = F.coalesce(contact_confidence(F.col(f"{r}.contact")), F.lit(0.0)).alias("contact")
+    out = df.withColumn("early", F.struct(contact, *[F.expr(e).alias(k) for k, e in parts.items()]))
+    total = " + ".join(f"early.{k} * {w}D" for k, w in EARLY_WEIGHTS.items())
+    return out.withColumn("early", F.struct("early.*", F.expr(f"round({total}, 3)").alias("overall")))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two scored extractions of the same documents: both overall scores, the better one (``a`` if they are equal) and the difference."""
+    each = a.select(key, F.col("confidence.overall").alias("a")).join(b.select(key, F.col("confidence.overall").alias("b")), key)
+    return each.select(key, "a", "b", F.when(F.col("a") >= F.col("b"), "a").otherwise("b").alias("better"), F.round(F.abs(F.col("a") - F.col("b")), 3).alias("difference"))

@@ -479,7 +479,7 @@ def layout_types(spark, sf_dir):
       max(CASE WHEN x1 - x0 > 0.8 * column_boundary THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num) = 1 AS any_full FROM blocks_syn JOIN typed USING (doc_id))
     SELECT doc_id, block_seq, CASE WHEN x1 - x0 > 420 THEN 'full' WHEN x0 < 0.9 * column_boundary THEN 'left' ELSE 'right' END AS layout_column,
       CASE WHEN side THEN 'sidebar' WHEN y0 < 160 THEN 'header' WHEN y0 > 720 THEN 'footer' ELSE 'body' END AS zone,
-      row_number() OVER (PARTITION BY doc_id ORDER BY page_num, CASE WHEN layout_type = 'sidebar' THEN CAST(side AS INT) WHEN layout_type = 'two_column' AND NOT any_full THEN CAST(x0 >= column_boundary AS INT) ELSE 0 END, y0, x0, block_seq) AS reading_rank
+      row_number() OVER (PARTITION BY doc_id ORDER BY page_num, CASE WHEN layout_type = 'sidebar' THEN CAST(side AS INT) WHEN layout_type = 'two_column' AND NOT any_full THEN CAST(x0 >= column_boundary AS INT) ELSE 0 END, y0, x0, block_seq, text) AS reading_rank
     FROM p"""
 )
 def reading_order(spark, sf_dir):
@@ -551,3 +551,4 @@ def records(spark, sf_dir):
 
 
 from . import resumes as _resumes  # noqa: E402, F401  (registers its queries)
+from . import texts as _texts  # noqa: E402, F401

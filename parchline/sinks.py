@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .dims import EXPORT_COLUMNS
 
+# Export modes, and what the names of numeric columns hold.
+NUMERIC = ("years", "confidence", "gpa")
 MODES = ("summary", "experience", "education", "full")
 
 
@@ -80,6 +82,12 @@ def _text_only(df: DataFrame) -> DataFrame:
     return df.select(*[_joined(F.col(c)).alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
 
 
+def coerced(df: DataFrame) -> DataFrame:
+    """Columns named after years, confidence or a grade as numbers; what isn't one becomes null. Dates stay text."""
+    numeric = [c for c in df.columns if any(k in c.lower() for k in NUMERIC)]
+    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in numeric})
+
+
 def skills_matrix(skills: DataFrame, key: str = "person_id", skill: str = "skill", columns: list[str] | None = None) -> DataFrame:
     """Pivot of persons by skills with a check mark; give ``columns`` to spare the pass that finds them."""
     wide = skills.groupBy(key).pivot(skill, columns) if columns else skills.groupBy(key).pivot(skill)

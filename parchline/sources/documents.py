@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -65,7 +67,6 @@ def split_safe(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
 def text_blocks(docs: DataFrame, text: str = "text", pitch: float = 18.0, blank: float = 10.0) -> DataFrame:
     """Blocks of plain texts: one for each filled line; capitals are bold headers of size 14, others 11."""
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "text"))
-    from pyspark.sql import Window as W
 
     before = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     step = F.when(F.trim("text") == "", blank).otherwise(pitch)
@@ -166,3 +167,30 @@ def pdf_blocks(df: DataFrame, mode: str = "blocks") -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return df.select("path", "content").mapInPandas(read, schema)
+
+
+def merged_blocks(digital: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Blocks of both readings of mixed files, columns of either; ``merged_rank`` orders a document's by page and height, digital ones first."""
+    both = digital.withColumn("origin", F.lit("digital")).unionByName(scanned.withColumn("origin", F.lit("scanned")), allowMissingColumns=True)
+    return both.withColumn("merged_rank", F.row_number().over(W.partitionBy("doc_id").orderBy("page_num", "y0", "origin", "block_seq")))
+
+
+def routed_blocks(files: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "pdf_type") -> DataFrame:
+    """Blocks of every file by the reader of its kind; ``readers`` must hold ``digital``.
+
+    Mixed files go through both readers and are merged. Files of a kind without a reader (null too) go to the digital one, and
+    so do files of which a scanned reader gives no block.
+    """
+    digital, scanned = readers["digital"], readers.get("scanned")
+    own = [k for k in readers if k not in ("digital", "scanned", "mixed")]
+    if scanned is None:
+        plain = files.where(~F.coalesce(F.col(kind).isin(own), F.lit(False))) if own else files
+        parts = [digital(plain).withColumn("origin", F.lit("digital"))]
+    else:
+        seen = scanned(files.where(F.col(kind) == "scanned")).withColumn("origin", F.lit("scanned"))
+        rest = files.where(F.col(kind) == "scanned").join(seen.select("doc_id").distinct(), "doc_id", "left_anti")
+        plain = files.where(~F.coalesce(F.col(kind).isin("scanned", "mixed", *own), F.lit(False)))
+        mixed = files.where(F.col(kind) == "mixed")
+        parts = [digital(plain.unionByName(rest)).withColumn("origin", F.lit("digital")), seen, merged_blocks(digital(mixed), scanned(mixed))]
+    parts += [readers[k](files.where(F.col(kind) == k)).withColumn("origin", F.lit(k)) for k in own]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
