@@ -37,7 +37,7 @@ from .common import small_batches, with_id
 #: Steps of one recursive query.
 STEPS = 24
 #: Bytes of words, and tokens, in one query; words remembered by a worker.
-QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 18, 1 << 18, 200_000
+QUERY_BYTES, QUERY_TOKENS, REMEMBERED = 1 << 18, 1 << 18, 400_000
 
 #: Bytes from which a word counts as long; bytes of long words in one query, and of a walk's beginnings.
 LONG, LONG_BYTES = 48, 1 << 15
