@@ -162,6 +162,7 @@ class Codec:
         self.load("merges", {"l": l, "r": r, "merged": m})
         self.load("vocabulary", {"id": np.arange(len(tokens), dtype=np.int32), "hex": [t.hex() for t in tokens]})
         self.cache: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
         self.ready = False
 
     def load(self, name: str, columns: dict) -> None:
@@ -279,7 +280,7 @@ class Codec:
 
         def flush() -> None:
             nonlocal runs, size
-            if len(self.cache) > REMEMBERED:
+            if len(self.cache) > self.remembered:
                 self.cache.clear()
             self.learn(set(chain.from_iterable(ws for _, ws in runs)).difference(self.cache))
             for i, ws in runs:
@@ -348,9 +349,10 @@ def id_lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
-def _kernel(tokens, pattern: str, decode: bool, lists: bool):
+def _kernel(tokens, pattern: str, decode: bool, lists: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokens, pattern)
+        codec.remembered = remembered
         for batch in batches:
             ids = codec.encode(batch.column("text").to_pylist())
             columns = {"doc_id": batch.column("doc_id"), "ids": id_lists(ids) if lists else pa.array(ids, pa.binary())}
@@ -369,17 +371,18 @@ def encode(
     text_col: str = "text",
     decode_back: bool = False,
     lists: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """doc_id, ids (binary: little-endian 32-bit ids; with ``lists`` an array of int), n_tokens; with decode_back the decoded bytes too.
 
-    The rank file is read on the driver.
+    The rank file is read on the driver. ``remembered`` bounds the words a worker keeps: fewer need less memory and more time, the ids stay the same.
     """
     spark = df.sparkSession
     small_batches(spark)
     tokens = _shared(spark, ranks_path)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = with_id(docs, f"ids {'array<int>' if lists else 'binary'}" + ", decoded binary" * decode_back)
-    out = docs.mapInArrow(_kernel(tokens, pattern, decode_back, lists), schema)
+    out = docs.mapInArrow(_kernel(tokens, pattern, decode_back, lists, remembered), schema)
     return out.withColumn("n_tokens", (F.size("ids") if lists else F.length("ids") / 4).cast("bigint"))
 
 
