@@ -58,7 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded back as a check."""
-    out = bpe.encode(docs, *tokenizer(), decode_back=True, lists=True)
+    out = bpe.encode(docs, *tokenizer(), decode_back=True, lists=True, remembered=100_000)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
