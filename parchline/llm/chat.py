@@ -19,13 +19,16 @@ strings then meet, as the output is one string for a conversation.
 Defined results. Null texts and roles count as empty. Turns are ordered by turn, then by role
 and text; null turns come first. Repeated rows stay turns of their own. A null conversation id is one
 conversation. Records with an unknown fingerprint or text that isn't JSON have no turns and are
-returned by ``unmapped``. Extra columns of turn tables are ignored.
+returned by ``unmapped``. Where a table's columns are the record, a row with an unknown fingerprint is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 64
 
@@ -62,11 +65,33 @@ def paths(record: Column | str) -> Column:
     Members are in the order of their names; a list's element is the union of all its elements; scalars are dots.
     """
     json = F.col(record) if isinstance(record, str) else record
-    schema = F.schema_of_variant(F.try_parse_json(json))
+    return _paths(F.try_parse_json(json))
+
+
+def _paths(variant: Column) -> Column:
+    schema = F.schema_of_variant(variant)
     whole = F.regexp_replace(schema, f"(?<=: |<)(?:{_SCALARS})(?=[,>])", ".")
     return F.when(F.startswith(schema, F.lit("OBJECT<")), whole)
 
 
+def row_paths(record: Column, kind: T.StructType) -> Column:
+    """The same of a struct of the type ``kind``. Only its shape enters the variant, as paths hold no values; so no text is too long."""
+    return _paths(F.to_variant_object(_shape(record, kind)))
+
+
+def _shape(value: Column, kind: T.DataType) -> Column:
+    """The value with true for every scalar in it."""
+    if isinstance(kind, T.StructType) and kind.fields:
+        made = F.struct(*[_shape(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        made = F.transform(value, lambda x: _shape(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        made = F.map_from_arrays(F.map_keys(value).cast("array<string>"), F.transform(F.map_values(value), lambda x: _shape(x, kind.valueType)))
+    else:
+        made = F.lit(True)
+    return F.when(value.isNotNull(), made)
+
+
 def canonical(layout: str) -> str:
     """The canonical form of a mapping's comma-joined paths, where [] marks array elements."""
     tree: dict = {}
@@ -97,37 +122,64 @@ def _canonical(role: Column) -> Column:
     return out
 
 
-def _mapped(json: Column, mapping: dict) -> Column:
+def _mapped(mapping: dict, field: Callable[[str], Column], items: Callable[[dict], Column]) -> Column:
+    """The mapping's turns; ``field`` gives a text of the record by its name, ``items`` the elements of its list."""
     if "turn" in mapping:
         role, text = mapping["turn"]
-        return F.array(F.struct(_field(json, role).alias("role"), _field(json, text).alias("text")))
+        return F.array(F.struct(field(role).alias("role"), field(text).alias("text")))
     if "turns" in mapping:
         return F.array(
             *[
-                F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[_field(json, f) for f in fields]), lambda x: x != ""), "\n").alias("text"))
+                F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[field(f) for f in fields]), lambda x: x != ""), "\n").alias("text"))
                 for role, fields in mapping["turns"]
             ]
         )
+    return F.transform(
+        items(mapping),
+        lambda m: F.struct(_canonical(F.coalesce(m["role"], F.lit(""))).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")),
+    )
+
+
+def _json_items(json: Column, mapping: dict) -> Column:
     items = F.from_json(F.get_json_object(json, f"$.{mapping['list']}"), "array<map<string,string>>")
     return F.transform(
         F.coalesce(items, F.array().cast("array<map<string,string>>")),
-        lambda m: F.struct(
-            _canonical(F.coalesce(m[mapping["role"]], F.lit(""))).alias("role"), F.coalesce(m[mapping["text"]], F.lit("")).alias("text")
-        ),
+        lambda m: F.struct(m[mapping["role"]].alias("role"), m[mapping["text"]].alias("text")),
     )
 
 
+def _row_field(record: Column, kind: T.StructType, name: str) -> Column:
+    return F.coalesce(record.getField(name).cast("string"), F.lit("")) if name in kind.names else F.lit("")
+
+
+def _row_items(record: Column, kind: T.StructType, mapping: dict) -> Column:
+    """None where the list's type has no such members; then no fingerprint selects the mapping."""
+    name, parts = mapping["list"], (mapping["role"], mapping["text"])
+    of = kind[name].dataType if name in kind.names else None
+    element = of.elementType if isinstance(of, T.ArrayType) else None
+    if not (isinstance(element, T.MapType) and isinstance(element.keyType, T.StringType) or isinstance(element, T.StructType) and set(parts) <= set(element.names)):
+        return F.array().cast(_TURNS)
+    return F.transform(
+        record.getField(name), lambda m: F.struct(*[m[part].cast("string").alias(own) for part, own in zip(parts, ("role", "text"))])
+    )
+
+
+def _selected(key: Column, mappings: dict[str, dict], field: Callable[[str], Column], items: Callable[[dict], Column]) -> Column:
+    """The turns of the mapping whose fingerprint ``key`` is; null where none is."""
+    out = None
+    for layout, mapping in mappings.items():
+        hit = key == F.xxhash64(F.lit(canonical(layout)))
+        turns = _mapped(mapping, field, items).cast(_TURNS)
+        out = F.when(hit, turns) if out is None else out.when(hit, turns)
+    return out
+
+
 def canonical_turns(record: Column | str, mappings: dict[str, dict] = MAPPINGS) -> Column:
     """The record's turns (role, text) by the mapping that its fingerprint selects; null without one."""
     json = F.col(record) if isinstance(record, str) else record
 
     def pick(s: Column) -> Column:  # the fingerprint is computed once for all mappings
-        out = None
-        for layout, mapping in mappings.items():
-            hit = s["key"] == F.xxhash64(F.lit(canonical(layout)))
-            turns = _mapped(s["json"], mapping).cast(_TURNS)
-            out = F.when(hit, turns) if out is None else out.when(hit, turns)
-        return out
+        return _selected(s["key"], mappings, lambda name: _field(s["json"], name), lambda m: _json_items(s["json"], m))
 
     return F.element_at(F.transform(F.array(F.struct(fingerprint(json).alias("key"), json.alias("json"))), pick), 1)
 
@@ -172,13 +224,20 @@ def turns_of_records(records: DataFrame, id_col: str, order_col: str, record_col
     ).select("conv_id", "turn", "k", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
-def turns_of_rows(rows: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """The same of flat rows, whose mapping the fingerprint of the columns selects; texts aren't parsed, so none is too long."""
-    fields = ",".join(sorted(c for c in rows.columns if c not in (id_col, order_col)))
-    if "turn" not in MAPPINGS.get(fields, {}):
-        raise ValueError(f"no mapping of turn rows fits the columns {fields}")
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MAPPINGS[fields]["turn"])
-    return rows.select(F.col(id_col).alias("conv_id"), F.col(order_col).cast("bigint").alias("turn"), F.lit(0).alias("k"), role.alias("role"), text.alias("text"))
+def turns_of_rows(rows: DataFrame, id_col: str, order_col: str, mappings: dict[str, dict] = MAPPINGS) -> DataFrame:
+    """The same of rows whose other columns are the record: the fingerprint of each row's own field paths selects its mapping.
+
+    Texts go from their columns into the turns without JSON. A row that no mapping fits is an error.
+    """
+    record = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in (id_col, order_col)])
+    rows = rows.select(F.col(id_col).alias("conv_id"), F.col(order_col).cast("bigint").alias("turn"), record.alias("record"))
+    record, kind = F.col("record"), rows.schema["record"].dataType
+    rows = rows.withColumn("paths", row_paths(record, kind)).withColumn("key", F.xxhash64("paths"))
+    turns = _selected(F.col("key"), mappings, lambda name: _row_field(record, kind, name), lambda m: _row_items(record, kind, m))
+    none = F.raise_error(F.concat(F.lit("no mapping fits the fields "), "paths")).cast(_TURNS)
+    return rows.select("conv_id", "turn", F.posexplode(F.coalesce(turns, none)).alias("k", "t")).select(
+        "conv_id", "turn", "k", F.col("t.role").alias("role"), F.col("t.text").alias("text")
+    )
 
 
 def format_turns(turns: DataFrame) -> DataFrame:

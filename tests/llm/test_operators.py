@@ -555,6 +555,33 @@ def test_turns_of_any_length(spark, tmp_path):
     assert got == {-1: 2, 1: 1}
 
 
+def test_rows_go_by_their_fingerprints(spark, tmp_path):
+    """A table's columns are the record: every layout is found by its fingerprint, none by the columns' names alone."""
+    tables = {
+        "'assistant' role, 'b' text": [("assistant", "b")],
+        "'user' role, null content": [("user", "")],
+        "'p' prompt, 'r' response": [("user", "p"), ("assistant", "r")],
+        "'i' instruction, '' input, 3 output": [("user", "i"), ("assistant", "3")],
+        "array(struct('human' `from`, 'q' value), struct('gpt' `from`, 'a' value)) conversations": [("user", "q"), ("assistant", "a")],
+        "array(map('role', 'user', 'content', 'x')) messages": [("user", "x")],
+    }
+    for columns, want in tables.items():
+        rows = spark.sql(f"SELECT 1L conv_id, 0L turn, {columns}")
+        made = chat.format_turns(chat.turns_of_rows(rows, "conv_id", "turn")).select(chat.read_back(F.col("formatted")).alias("t")).first()
+        assert [(x.role, x.text) for x in made.t] == want, columns
+        json_made = chat.canonical_turns(F.to_json(F.struct(*[c for c in rows.columns[2:]]), {"ignoreNullFields": "false"}))
+        assert [(x.role, x.text) for x in rows.select(json_made.alias("t")).first().t] == want, columns
+    for unlike in ("'user' role, struct('x' a) text", "'user' role, array('x') text", "'user' role, 'x' text, 1 more", "array(struct('user' role)) messages"):
+        with pytest.raises(Exception, match="no mapping fits the fields OBJECT<"):
+            chat.turns_of_rows(spark.sql(f"SELECT 1L conv_id, 0L turn, {unlike}"), "conv_id", "turn").collect()
+    # The query takes the rows' mapping from there as well: without one for role and text no row of the table has turns.
+    spark.sql("SELECT 1L conv_id, 0L turn, 'user' role, 'x' text").write.parquet(f"{tmp_path}/conversations.parquet")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chat, "canonical", lambda layout, known=chat.canonical: known("none") if layout == "role,text" else known(layout))
+        with pytest.raises(Exception, match="no mapping fits the fields OBJECT<role: ., text: .>"):
+            QUERIES["op3_chat_format"](spark, str(tmp_path)).collect()
+
+
 # --- queries ---
 
 
