@@ -7,9 +7,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,28 @@ def with_id(df: DataFrame, rest: str) -> T.StructType:
     return T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), *T.StructType.fromDDL(rest).fields])
 
 
+#: Share of the driver's heap from which on its garbage is collected after a written table.
+FULL_HEAP = 0.5
+
+
+def release(spark: SparkSession) -> str:
+    """Gives memory of finished queries back that the driver would keep, as an operator of many short queries adds it up.
+
+    Broadcasts go with their last reference, for which the driver's garbage is collected once the heap has grown to FULL_HEAP of its limit.
+    What compilers and threads have freed stays with the C library, which is asked to return it. Its answer, none of a JVM that can't ask.
+    """
+    jvm = spark._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() >= FULL_HEAP * heap.maxMemory():
+        jvm.java.lang.System.gc()
+    with suppress(Py4JError):
+        (invoke,) = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    return ""
+
+
 class Stage:
     """Intermediate tables under one run folder of the shared directory.
 
@@ -65,6 +88,7 @@ class Stage:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips, held-out accuracy and odd input."""
 
+import gc
 import hashlib
 import json
 import os
@@ -14,7 +15,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from parchline.llm import bpe, chat, chunks, decontaminate, minhash, quality, rules, secrets, toxicity, urls
+from parchline.llm import bpe, chat, chunks, common, decontaminate, minhash, quality, rules, secrets, toxicity, urls
 from parchline.llm.common import word_hashes
 from parchline.llm.labelled import calibrate
 from parchline.llm.queries import ALLOW, BLOCK, QUERIES, tokenizer
@@ -34,6 +35,21 @@ def table(spark, rows):
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "a null id"), (5, "same row"), (5, "same row"), (6, LONG), (7, "one")]
 
 
+# --- stage tables ---
+
+
+def test_written_tables_release_the_drivers_memory(spark, monkeypatch):
+    """A full heap's garbage goes once a table is written, and the native heap is trimmed."""
+    held = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.util.ArrayList())
+    gc.collect()
+    stage = common.Stage(spark, "release")
+    monkeypatch.setattr(common, "FULL_HEAP", 0.0, raising=False)
+    assert stage.save(spark.range(3), "a").count() == 3
+    assert held.get() is None
+    assert common.release(spark).startswith("Trim native heap")
+    stage.drop()
+
+
 # --- near duplicates ---
 
 
