@@ -58,6 +58,16 @@ def _top(query: str, choices: list[str], cutoff: float, ordered: bool) -> str:
     return f"element_at(transform(array({q}), q -> array_max(filter({scored}, s -> s.score >= {cutoff}))), 1)"
 
 
+def _distinct(values: DataFrame, col: str) -> DataFrame:
+    """original, written: distinct values, twice.
+
+    ``written`` needs the rows' count, so a later filter on what a ladder finds in it stays above the aggregation. On the key alone the planner would
+    move the filter, and with it the whole ladder, below the aggregation and to the other side of a join, to every row.
+    """
+    counted = values.select(F.col(col).alias("original")).groupBy("original").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("original", F.when(F.col("rows") > 0, F.col("original")).alias("written"))
+
+
 def match_skills(values: DataFrame, col: str = "skill", threshold: float = 80, skills: list[str] = SKILLS) -> DataFrame:
     """Distinct values with matched, score and method.
 
@@ -67,8 +77,8 @@ def match_skills(values: DataFrame, col: str = "skill", threshold: float = 80, s
     loose = {}
     for s in skills:
         loose.setdefault("".join(ch for ch in s if ch.isalnum() or ch in " _").strip(), s)
-    v = values.select(F.col(col).alias("original")).where("original IS NOT NULL").distinct()
-    v = v.withColumn("low", F.lower(F.trim("original")))
+    v = _distinct(values.where(F.col(col).isNotNull()), col)
+    v = v.withColumn("low", F.lower(F.trim("written")))
     v = v.withColumn("exact", F.when(F.col("low").isin(skills), F.col("low")))
     v = v.withColumn("alias", F.try_element_at(_map(SKILL_ALIASES), F.col("low")))
     v = v.withColumn("keyed", F.try_element_at(_map(loose), loose_key(F.col("low"))))
@@ -229,9 +239,9 @@ def normalize_titles(values: DataFrame, col: str = "title") -> DataFrame:
 
     Role: standard title 1.0, abbreviation .95, similar standard title (token-sorted, >= 70) score / 100, keyword table .65, title case .50.
     """
-    v = values.select(F.col(col).alias("original")).where("trim(original) <> ''").distinct()
-    v = v.withColumn("seniority", seniority(F.col("original"))).withColumn("rest", without_seniority(F.col("original")))
-    v = v.withColumn("rest", F.when(F.col("rest") == "", F.lower(F.trim("original"))).otherwise(F.col("rest")))
+    v = _distinct(values.where(F.trim(F.col(col)) != ""), col)
+    v = v.withColumn("seniority", seniority(F.col("written"))).withColumn("rest", without_seniority(F.col("written")))
+    v = v.withColumn("rest", F.when(F.col("rest") == "", F.lower(F.trim("written"))).otherwise(F.col("rest")))
     key = F.trim(F.regexp_replace(F.regexp_replace("rest", r"[^a-z0-9_\s]", " "), r"\s+", " "))
     standard = {" ".join("".join(ch if ch.isalnum() else " " for ch in t.lower()).split()): t for t in STANDARD_TITLES}
     v = v.withColumn("exact", F.try_element_at(_map(standard), key)).withColumn("short", F.try_element_at(_map(ROLE_ABBREVIATIONS), F.col("rest")))
