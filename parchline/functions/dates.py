@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import regexes as R
+from .text import has_date_range
 
 # Month names; formats in order of trial.
 _MONTHS = "January February March April May June July August September October November December".split()
@@ -34,13 +35,18 @@ def parse_date(c: Column, as_of: str) -> Column:
     """Date of a point in time: present, month and year, full formats, else the first year's January."""
 
     def body(s: Column) -> Column:
-        tries = [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in FORMATS]
+        tries = [F.when(F.contains(s, F.lit(_separator(f))), F.try_to_timestamp(s, F.lit(f)).cast("date")) for f in FORMATS]
         year = F.make_date(F.nullif(F.regexp_extract(s, R.YEAR, 0), F.lit("")).cast("int"), F.lit(1), F.lit(1))
         return F.when(is_present(s), F.lit(as_of).cast("date")).otherwise(F.coalesce(*tries, year))
 
     return let(short_months(c), body)
 
 
+def _separator(f: str) -> str:
+    """A character that texts of a format must hold; a trial that fails costs an exception."""
+    return next(ch for ch in ",/- " if ch in f)
+
+
 def duration_years(start: Column, end: Column) -> Column:
     """Whole years, months as twelfths and left-over days as parts of 365.25, to one decimal; order doesn't matter."""
 
@@ -70,8 +76,11 @@ def parse_range(c: Column, as_of: str) -> Column:
         )
         return F.when(p["raw"] != "", made)
 
-    groups = F.struct(*[F.regexp_extract(c, R.DATE_RANGE, i).alias(k) for i, k in enumerate(("raw", "a", "b"))])
-    return let(let(groups, parts), body)
+    def groups(raw: Column) -> Column:
+        return F.struct(raw.alias("raw"), F.regexp_extract(raw, R.DATE_RANGE, 1).alias("a"), F.regexp_extract(raw, R.DATE_RANGE, 2).alias("b"))
+
+    raw = let(c, lambda t: F.when(has_date_range(t), F.regexp_extract(t, R.DATE_RANGE, 0)))
+    return let(let(let(raw, groups), parts), body)
 
 
 def _named(c: Column, parsed: Column) -> Column:

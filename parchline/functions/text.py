@@ -51,7 +51,7 @@ def fix_artifacts(c: Column, ocr_repairs: bool = True) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(c, "\t", " "), R.MULTIPLE_SPACES, " "), R.MULTIPLE_NEWLINES, "\n\n")
+    return F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" ")), R.MULTIPLE_SPACES, " "), R.MULTIPLE_NEWLINES, "\n\n")
 
 
 def is_noise_line(c: Column) -> Column:
@@ -97,8 +97,30 @@ def section_key(c: Column) -> Column:
 
 
 def is_all_caps(c: Column) -> Column:
-    letters = F.regexp_replace(c, "[^A-Za-z]", "")
-    return (F.length(letters) >= 3) & (letters == F.upper(letters))
+    return ~c.rlike("[a-z]") & c.rlike("[A-Z](?:[^A-Z]*[A-Z]){2}")
+
+
+# What a pattern can't do without is looked for first: most lines hold none of it, and a pattern costs many times as much.
+
+
+def has_date_range(c: Column) -> Column:
+    return _may_be_dated(c) & c.rlike(R.DATE_RANGE)
+
+
+def without_date_range(c: Column) -> Column:
+    return F.when(_may_be_dated(c), F.regexp_replace(c, R.DATE_RANGE, "")).otherwise(c)
+
+
+def _may_be_dated(c: Column) -> Column:
+    return F.contains(c, F.lit("20")) | F.contains(c, F.lit("19"))
+
+
+def has_email(c: Column) -> Column:
+    return F.contains(c, F.lit("@")) & c.rlike(R.EMAIL)
+
+
+def has_linkedin(c: Column) -> Column:
+    return F.contains(F.lower(c), F.lit("linkedin")) & c.rlike(R.LINKEDIN)
 
 
 def dehyphenate(c: Column) -> Column:

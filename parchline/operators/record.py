@@ -31,20 +31,25 @@ def _nz(c: Column) -> Column:
 
 def contact(text: Column, lines: Column) -> Column:
     """Contact struct of a text's first 600 characters; the name is the first line of two to four capitalised words."""
-    top = F.substring(text, 1, 600)
-    mail = F.lower(_nz(F.regexp_extract(top, R.EMAIL, 0)))
-    raw_phone = F.regexp_replace(F.regexp_extract(F.regexp_replace(top, R.EMAIL, " "), R.PHONE, 0), r"[^\d+\-() ]", "")
-    phone = F.when(F.length(F.regexp_replace(raw_phone, r"\D", "")) >= 7, F.trim(raw_phone))
-    account = lambda pattern, loose: F.coalesce(_nz(F.regexp_extract(top, pattern, 1)), _nz(F.regexp_extract(top, rf"(?i)\b{loose}[:\s/]+([a-zA-Z0-9\-_%]{{3,}})", 1)))
+    return let(F.substring(text, 1, 600), lambda top: let(F.lower(top), lambda low: _contact(top, low, lines)))
+
+
+def _contact(top: Column, low: Column, lines: Column) -> Column:
+    mailed = F.contains(top, F.lit("@"))
+    mail = F.when(mailed, F.lower(_nz(F.regexp_extract(top, R.EMAIL, 0))))
+    raw_phone = F.regexp_replace(F.regexp_extract(F.when(mailed, F.regexp_replace(top, R.EMAIL, " ")).otherwise(top), R.PHONE, 0), r"[^\d+\-() ]", "")
+    phone = let(raw_phone, lambda x: F.when(F.length(F.regexp_replace(x, r"\D", "")) >= 7, F.trim(x)))
+    account = lambda pattern, loose: F.when(F.contains(low, F.lit(loose)), F.coalesce(_nz(F.regexp_extract(top, pattern, 1)), _nz(F.regexp_extract(top, rf"(?i)\b{loose}[:\s/]+([a-zA-Z0-9\-_%]{{3,}})", 1))))
     link = F.concat(F.lit("https://linkedin.com/in/"), account(R.LINKEDIN, "linkedin"))
     hub = F.concat(F.lit("https://github.com/"), account(R.GITHUB, "github"))
     urls = F.filter(F.regexp_extract_all(top, F.lit(R.WEBSITE), F.lit(0)), lambda u: ~u.rlike(r"(?i)linkedin|github|facebook|twitter|instagram|youtube"))
     site = F.get(F.transform(urls, lambda u: F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("https://"), u))), F.lit(0))
+    site = F.when(F.contains(low, F.lit("://")) | F.contains(low, F.lit("www.")), site)
     place = F.get(F.filter(F.split(top, "\n"), lambda x: ~x.contains("@") & x.rlike(r"^[A-Z][A-Za-z .'-]+,\s*[A-Za-z .]+(?:,\s*[A-Za-z .]+)?(?:\s+\d{5}(?:-\d{4})?)?$")), F.lit(0))
-    parts = F.split(F.regexp_replace(place, r"\s+\d{5}(?:-\d{4})?$", ""), r"\s*,\s*")
-    last = F.lower(F.element_at(parts, -1))
+    split = let(place, lambda p: F.split(F.regexp_replace(p, r"\s+\d{5}(?:-\d{4})?$", ""), r"\s*,\s*"))
+    located = let(split, lambda parts: F.struct(F.get(parts, F.lit(0)).alias("city"), F.when(F.lower(F.element_at(parts, -1)).isin(COUNTRIES), F.element_at(parts, -1)).alias("country")))
     address = _nz(F.regexp_extract(top, r"(?im)\b(\d{1,5}\s+[A-Za-z0-9 .]+(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd)\b\.?[^\n]*)", 1))
-    return F.struct(
+    made = lambda p: F.struct(
         full_name(lines).alias("full_name"),
         mail.alias("email"),
         phone.alias("phone"),
@@ -52,9 +57,10 @@ def contact(text: Column, lines: Column) -> Column:
         hub.alias("github"),
         site.alias("website"),
         address.alias("address"),
-        F.get(parts, F.lit(0)).alias("city"),
-        F.when(last.isin(COUNTRIES), F.element_at(parts, -1)).alias("country"),
+        p["city"].alias("city"),
+        p["country"].alias("country"),
     )
+    return let(located, made)
 
 
 def full_name(lines: Column) -> Column:
@@ -76,7 +82,7 @@ def contact_confidence(c: Column) -> Column:
 
 def summary(lines: Column) -> Column:
     """Prose lines of the section as one text of 30 to 1500 characters."""
-    kept = F.filter(lines, lambda x: (F.length(F.trim(x)) >= 10) & ~x.rlike(R.EMAIL))
+    kept = F.filter(lines, lambda x: (F.length(F.trim(x)) >= 10) & ~T.has_email(x))
     return _cut(F.array_join(F.transform(kept, lambda x: F.trim(x)), " "))
 
 
@@ -89,8 +95,8 @@ def top_paragraph(lines: Column) -> Column:
         paragraph = lambda xs: F.slice(xs, F.lit(1), let(F.array_position(F.transform(xs, lambda x: F.trim(x) == ""), True), lambda n: F.when(n > 0, n - 1).otherwise(40)).cast("int"))
         return F.when(p["begin"] > 0, _cut(F.array_join(F.transform(let(rest, paragraph), lambda x: F.trim(x)), " ")))
 
-    heading = F.array_position(F.transform(F.slice(lines, 1, 40), lambda x: T.is_all_caps(x)), True)
-    above = let(heading, lambda n: F.slice(lines, F.lit(1), F.when(n > 0, n - 1).otherwise(40).cast("int")))
+    upper = F.slice(lines, 1, 40)
+    above = let(upper, lambda xs: let(F.array_position(F.transform(xs, lambda x: T.is_all_caps(x)), True), lambda n: F.slice(xs, F.lit(1), F.when(n > 0, n - 1).otherwise(40).cast("int"))))
     placed = let(above, lambda first: F.struct(first.alias("first"), F.array_position(F.transform(first, prose), True).alias("begin")))
     return let(placed, body)
 
@@ -106,7 +112,7 @@ def _is_bullet(x: Column) -> Column:
 
 
 def _dated(x: Column) -> Column:
-    return x.rlike(R.DATE_RANGE)
+    return T.has_date_range(x)
 
 
 def _words(x: Column) -> Column:
@@ -127,7 +133,7 @@ def entry_rows(lines: DataFrame) -> DataFrame:
     t = F.col("text")
     by = lambda jobs, degrees, certificates, projects: F.when(F.col("section") == "experience", jobs).when(F.col("section") == "education", degrees).when(F.col("section") == "certifications", certificates).when(F.col("section") == "projects", projects)
     degree, bullet = t.rlike(R.DEGREE), _is_bullet(t)
-    job = ~bullet & (_words(t) <= 12) & (t.rlike(R.TITLE_WORD) | t.rlike(r"\s[|@—–·•]\s")) & ~F.regexp_replace(t, R.DATE_RANGE, "").rlike(r"^\W*$")
+    job = ~bullet & (_words(t) <= 12) & (t.rlike(R.TITLE_WORD) | t.rlike(r"\s[|@—–·•]\s")) & ~T.without_date_range(t).rlike(r"^\W*$")
     certificate = (t.rlike(_CERT_NAMES) | t.rlike(R.CERT_ABBREVIATIONS)) & ~t.rlike(r"(?i)^\s*(?:credential|license|expires?|issued|valid)\b")
     project = ~bullet & ~t.rlike(_PROJECT_FACTS) & (_words(t) <= 8)
     given = lines.where("trim(text) <> ''").withColumns(
@@ -189,7 +195,7 @@ def job(e: Column, as_of: str) -> Column:
             span["end"].alias("end"),
         )
 
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.get(e, F.lit(0)), R.DATE_RANGE, ""), r"[(),|\s]+$", ""))
+    plain = F.trim(F.regexp_replace(T.without_date_range(F.get(e, F.lit(0))), r"[(),|\s]+$", ""))
     parts = F.transform(F.split(plain, r"\s*[|@—–·•]\s*|\s+-\s+|\s+at\s+|,\s+"), lambda p: F.trim(p))
     return let(F.struct(parse_range(_period(e), as_of).alias("span"), parts.alias("parts")), body)
 
@@ -209,7 +215,7 @@ def degree_rank(c: Column) -> Column:
 
 def field_of_study(c: Column) -> Column:
     named = F.coalesce(_nz(F.regexp_extract(c, r"(?i)\b(?:in|of)\s+([A-Z][A-Za-z &]+?)(?:,|\(|\||-|$)", 1)), _nz(F.regexp_extract(c, r"\(([A-Z][A-Za-z &]+)\)", 1)))
-    listed = F.get(F.filter(F.array(*[F.lit(f) for f in FIELDS_OF_STUDY]), lambda f: F.contains(F.lower(c), f)), F.lit(0))
+    listed = let(F.lower(c), lambda low: F.get(F.filter(F.array(*[F.lit(f) for f in FIELDS_OF_STUDY]), lambda f: F.contains(low, f)), F.lit(0)))
     return F.coalesce(T.title_case(listed), named)
 
 
@@ -237,7 +243,7 @@ def certificate(e: Column, as_of: str) -> Column:
     def body(p: Column) -> Column:
         whole, bare = p["whole"], p["bare"]
         when = _nz(F.regexp_extract(whole, rf"(?i)({R.MONTH}[\s.,]*(?:19|20)\d{{2}}|{R.YEAR})", 1))
-        issuer = F.get(F.filter(F.array(*[F.lit(i) for i in ISSUERS]), lambda i: F.contains(F.lower(whole), i)), F.lit(0))
+        issuer = let(F.lower(whole), lambda low: F.get(F.filter(F.array(*[F.lit(i) for i in ISSUERS]), lambda i: F.contains(low, i)), F.lit(0)))
         return F.struct(
             _nz(F.regexp_replace(F.regexp_replace(bare, rf"(?i)[\s(,|-]*(?:{R.MONTH}[\s.,]*)?(?:19|20)\d{{2}}\)?.*$", ""), r"\s*[|–—-]\s*[^|–—-]*$", "")).alias("name"),
             T.title_case(issuer).alias("issuer"),

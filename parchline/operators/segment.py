@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..dims import SECTION_KEYWORDS
 from ..functions import regexes as R
+from ..functions.dates import let
 from ..functions.similarity import best_match
-from ..functions.text import is_all_caps, section_key
+from ..functions.text import has_date_range, has_email, has_linkedin, is_all_caps, section_key
 
 _KEYWORDS = [(k, s) for s, ks in SECTION_KEYWORDS.items() for k in ks]
 
@@ -17,8 +18,7 @@ _KEYWORDS = [(k, s) for s, ks in SECTION_KEYWORDS.items() for k in ks]
 def keyword_section(key: Column) -> Column:
     """Exact keyword's section, else that of the first keyword over four letters inside the text."""
     exact = F.create_map(*[F.lit(x) for k, s in dict(_KEYWORDS).items() for x in (k, s)])
-    listed = [F.when(key.contains(k), F.lit(s)) for k, s in _KEYWORDS if len(k) > 4]
-    return F.coalesce(F.try_element_at(exact, key), *listed)
+    return let(key, lambda x: F.coalesce(F.try_element_at(exact, x), *[F.when(x.contains(k), F.lit(s)) for k, s in _KEYWORDS if len(k) > 4]))
 
 
 def fuzzy_section(key: str, cutoff: float = 75) -> Column:
@@ -31,7 +31,7 @@ def header_section(text: Column, font_size: Column, is_bold: Column, is_header:
     """The section that a block opens, or null: no long lines, dates or contact data; a typographic sign and a keyword."""
     t = F.trim(text)
     key, words = section_key(t), F.size(F.split(F.trim(t), r"\s+"))
-    out = (F.length(t) > 80) | (t == "") | t.rlike(R.DATE_RANGE) | t.rlike(R.EMAIL) | t.rlike(R.LINKEDIN)
+    out = (F.length(t) > 80) | (t == "") | has_date_range(t) | has_email(t) | has_linkedin(t)
     sign = is_header | (font_size >= 12) | is_bold | is_all_caps(t) | t.endswith(":")
     bare = words <= 5
     return F.when(~F.coalesce(out, F.lit(True)) & (sign | bare), keyword_section(key))

@@ -1,6 +1,10 @@
 """Plans and partitions that keep the work in proportion to the rows."""
 
-from parchline.operators import match, record
+from pyspark.sql import functions as F
+
+from parchline.functions import dates, text
+from parchline.functions import regexes as R
+from parchline.operators import match, record, segment
 
 LADDER = "levenshtein"
 
@@ -30,3 +34,45 @@ def test_a_ladder_does_not_move_to_the_other_side_of_its_join(spark):
     ladders = [i for i, line in enumerate(plan) if LADDER in line]
     assert ladders and all(scans[0] < i < counted for i in ladders)
     assert [(r.k, r.matched) for r in record.matched_lists(lists, "k", "xs").collect()] == [(1, ["python"])]
+
+
+def _uses(column, name: str) -> int:
+    return column._jc.toString().count(name)
+
+
+def test_an_expression_is_named_once_where_it_is_costly():
+    """Branches of a CASE or COALESCE share nothing: a text named in each of them is made again in each."""
+    assert _uses(segment.keyword_section(F.translate("text", "a", "b")), "translate(") == 1
+    assert _uses(dates.parse_range(F.translate("text", "a", "b"), "2024-01-01"), "translate(") == 1
+    assert _uses(record.contact(F.translate("text", "a", "b"), F.split("x", "y")), "translate(") == 1
+
+
+def test_short_cuts_agree_with_the_patterns(spark):
+    given = ["Jan 2018 - Mar 2021", "built 20 things", "1999/2001", "a@b", "me@mail.org", "LINKEDIN.com/in/abc", "x linkedin", "ABC", "AB", "A1B-C", "ABc", "", "ÄÖÜ", None, "3/2019 to present", "2010"]
+    rows = spark.createDataFrame([(x,) for x in given], "t string")
+    t = F.col("t")
+    letters = F.regexp_replace(t, "[^A-Za-z]", "")
+    pairs = [
+        (text.has_date_range(t), t.rlike(R.DATE_RANGE)),
+        (text.without_date_range(t), F.regexp_replace(t, R.DATE_RANGE, "")),
+        (text.has_email(t), t.rlike(R.EMAIL)),
+        (text.has_linkedin(t), t.rlike(R.LINKEDIN)),
+        (text.is_all_caps(t), (F.length(letters) >= 3) & (letters == F.upper(letters))),
+    ]
+    found = rows.select(*[a.eqNullSafe(b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    assert all(all(r) for r in found)
+
+
+def test_dates_of_every_format_are_still_read(spark):
+    given = {"Mar 2019": "2019-03-01", "3/2019": "2019-03-01", "3-2019": "2019-03-01", "2019-03": "2019-03-01", "2019/03": "2019-03-01", "15/3/2019": "2019-03-15", "3/15/2019": "2019-03-15", "2019-03-15": "2019-03-15", "March 15, 2019": "2019-03-15", "15 Mar 2019": "2019-03-15", "2019/03/15": "2019-03-15", "15-3-2019": "2019-03-15", "class of 2019": "2019-01-01", "now": "2024-01-01", "none": None}
+    rows = spark.createDataFrame(list(given.items()), "t string, want string")
+    got = rows.select("t", "want", dates.parse_date(F.col("t"), "2024-01-01").cast("string").alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_skills_of_several_words_are_mined_between_blanks(spark):
+    given = {"We do Machine\tLearning, Power BI – C++ and SQL Server.": {"machine learning", "power bi", "c++", "sql server"}, "machine, learning": {"machine learning"}, "machinelearning powerbi": set(), "learning machine": set(), "Ümachine learning": {"machine learning"}, "x\u0000go": {"go"}}
+    rows = spark.createDataFrame([(k,) for k in given], "t string")
+    for r in rows.select("t", match.mine_skills(F.col("t")).alias("s")).collect():
+        several = {s for s in r.s if s in {"machine learning", "power bi", "c++", "sql server", "go"}}
+        assert several == given[r.t], r.t
