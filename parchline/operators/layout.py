@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regexes as R
 from ..functions.text import normalize_whitespace
+from ..sources.tables import by_key
 
 
 def column_tags(blocks: DataFrame, width: float) -> DataFrame:
@@ -25,10 +26,10 @@ def column_tags(blocks: DataFrame, width: float) -> DataFrame:
     return blocks.withColumn("column_tag", tag).withColumn("is_header", header)
 
 
-def page_order(blocks: DataFrame, step: float = 15.0, tag: str = "column_tag") -> DataFrame:
-    """Rank within a page by row of ``step`` points, column and left edge."""
-    w = W.partitionBy("doc_id", "page_num").orderBy(F.bround(F.col("y0") / step), tag, "x0", "block_seq")
-    return blocks.withColumn("page_rank", F.row_number().over(w))
+def page_order(blocks: DataFrame, step: float = 15.0, tag: str = "column_tag", place: str | None = None) -> DataFrame:
+    """Rank within a page by row of ``step`` points, column, left edge and block_seq; blocks that are alike in these by their column ``place``."""
+    w = W.partitionBy("doc_id", "page_num").orderBy(F.bround(F.col("y0") / step), tag, "x0", "block_seq", *([place] if place else []))
+    return by_key(blocks, "doc_id").withColumn("page_rank", F.row_number().over(w))
 
 
 def full_text(blocks: DataFrame, order: str = "page_rank") -> DataFrame:
@@ -157,7 +158,7 @@ def adaptive_text(blocks: DataFrame, tolerance: float = 15.0) -> DataFrame:
 
 def lines_from_words(words: DataFrame, boundary: float, jump: float = 10.0) -> DataFrame:
     """Words to lines: columns parted at ``boundary``; a new line where y jumps by more than ``jump``."""
-    w = words.withColumn("side", (F.col("x0") >= boundary).cast("int"))
+    w = by_key(words, "doc_id").withColumn("side", (F.col("x0") >= boundary).cast("int"))
     order = W.partitionBy("doc_id", "page_num", "side").orderBy(F.bround(F.col("y0") / 10), "x0", "block_seq", "text")
     y = F.bround(F.col("y0") / 10) * 10
     w = w.withColumn("breaks", F.coalesce((y - F.lag(y).over(order) > jump).cast("int"), F.lit(0)))

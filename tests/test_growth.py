@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from parchline.functions import dates, text
 from parchline.functions import regexes as R
-from parchline.operators import match, record, segment
+from parchline.operators import layout, match, record, segment
+from parchline.sources import tables
 
 LADDER = "levenshtein"
 
@@ -76,3 +77,21 @@ def test_skills_of_several_words_are_mined_between_blanks(spark):
     for r in rows.select("t", match.mine_skills(F.col("t")).alias("s")).collect():
         several = {s for s in r.s if s in {"machine learning", "power bi", "c++", "sql server", "go"}}
         assert several == given[r.t], r.t
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path):
+    spark.range(0, 200_000, 1, 2).selectExpr("id % 5000 AS doc_id", "uuid() AS t").write.parquet(f"{tmp_path}/x.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/x.parquet")
+    whole = sum(p.stat().st_size for p in (tmp_path / "x.parquet").glob("*.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    for size in (whole * 2, whole // 10, whole // 40):
+        assert abs(tables.by_key(rows.where("doc_id > 7"), "doc_id", size=size).rdd.getNumPartitions() - max(cores, whole / size)) <= 1
+
+
+def test_lines_from_words_take_the_partitions_of_their_size(spark, tmp_path):
+    words = spark.createDataFrame([(i % 50, 1, i, float(i % 7), float(i % 30), "w") for i in range(500)], "doc_id bigint, page_num int, block_seq int, x0 double, y0 double, text string")
+    want = {tuple(r) for r in layout.lines_from_words(words, 3.0).collect()}
+    words.write.parquet(f"{tmp_path}/words.parquet")
+    made = layout.lines_from_words(spark.read.parquet(f"{tmp_path}/words.parquet"), 3.0)
+    assert any("RepartitionByExpression [doc_id" in line for line in _optimized(made))
+    assert {tuple(r) for r in made.collect()} == want
