@@ -47,12 +47,14 @@ DERIVED = {
 }
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, place: str | None = None) -> DataFrame:
+    """A derived relation; ``place`` names a column for the rows' places in the table."""
     source, columns = DERIVED[name]
     if name == "skills":
         both = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         return both.select(*_expressions(columns))
-    return _table(spark, sf_dir, source).select(*_expressions(columns))
+    at = [tables.place(sf_dir, source).alias(place)] if place else []
+    return _table(spark, sf_dir, source).select(*_expressions(columns), *at)
 
 
 def _expressions(columns: str) -> list:
@@ -495,7 +497,7 @@ def reading_order(spark, sf_dir):
       CAST((page_num - 1) * 100000 + floor(y0 / 10) * 10 + CASE WHEN tag = 'right' THEN 1 ELSE 0 END AS BIGINT) AS weight FROM t"""
 )
 def page_order(spark, sf_dir):
-    tagged = layout.reading_weight(layout.page_order(layout.column_tags(derived(spark, sf_dir, "blocks"), WIDTH)))
+    tagged = layout.reading_weight(layout.page_order(layout.column_tags(derived(spark, sf_dir, "blocks", "place"), WIDTH), place="place"))
     return tagged.select("doc_id", "block_seq", "column_tag", F.col("page_rank").cast("bigint").alias("page_rank"), "weight")
 
 

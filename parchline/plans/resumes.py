@@ -350,7 +350,7 @@ def anchored_lines(spark, sf_dir):
 def full_texts(spark, sf_dir):
     from .catalogue import WIDTH, derived
 
-    return layout.full_text(layout.page_order(layout.column_tags(derived(spark, sf_dir, "blocks"), WIDTH)))
+    return layout.full_text(layout.page_order(layout.column_tags(derived(spark, sf_dir, "blocks", "place"), WIDTH), place="place"))
 
 
 # --- the relational tier ---

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parchline.functions import dates, text
 from parchline.functions import regexes as R
 from parchline.operators import layout, match, record, segment
+from parchline.plans import catalogue
 from parchline.sources import tables
 
 LADDER = "levenshtein"
@@ -95,3 +96,21 @@ def test_lines_from_words_take_the_partitions_of_their_size(spark, tmp_path):
     made = layout.lines_from_words(spark.read.parquet(f"{tmp_path}/words.parquet"), 3.0)
     assert any("RepartitionByExpression [doc_id" in line for line in _optimized(made))
     assert {tuple(r) for r in made.collect()} == want
+
+
+def test_blocks_that_tie_keep_the_order_of_the_table(spark, tmp_path):
+    """Equal row, column, left edge and number: the table decides, not the order in which a shuffle arrives."""
+    n = 300
+    rows = [(i % 5, i, 0, 1, 0.0) for i in range(n)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_tax double").selectExpr("l_orderkey", "l_partkey * 480 AS l_partkey", "l_suppkey", "l_linenumber").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    blocks = catalogue.derived(spark, str(tmp_path), "blocks", "place").withColumn("k", F.col("place.row"))
+    ranked = layout.page_order(layout.column_tags(blocks.repartition(7, F.rand(3)), catalogue.WIDTH), place="place")
+    got = {d: [r.k for r in sorted(g, key=lambda r: r.page_rank)] for d, g in _by_doc(ranked.select("doc_id", "page_rank", "k").collect()).items()}
+    assert len(got) == 5 and all(v == sorted(v) for v in got.values())
+
+
+def _by_doc(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append(r)
+    return out
